@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +25,34 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "contextloom-checkpoints")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_contextloom", False):
+        context._has_contextloom = True
+        root = Path(__file__).resolve().parents[2]
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "contextloom"), "zip", root, "contextloom")
+        context.addPyFile(made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and the files survive executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/contextloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # shuffle files of finished stages are dropped once the JVM finds their plans unused
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made by materialize that nothing needs any more."""
+    jvm, session = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -37,6 +61,7 @@ def words(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
