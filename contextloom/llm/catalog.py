@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from contextloom.llm import jaccard, mixing, quality, substrings
+from contextloom.llm import decontam, jaccard, mixing, quality, substrings
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
     "op3_substring_factors": substrings.op3_substrings,
     "op4_mix_systematic": mixing.op4_mix,
     "op6_ngram_jaccard": jaccard.op6_jaccard,
+    "op7_decontaminate": decontam.op7_decontaminate,
 }
 
 SQL: dict[str, str] = {}
