@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from contextloom.llm import decontam, jaccard, mixing, quality, substrings
+from contextloom.llm import decontam, jaccard, mincut, mixing, quality, substrings, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
+    "op2_warc_derivatives": warc.op2_derivatives,
     "op3_substring_factors": substrings.op3_substrings,
     "op4_mix_systematic": mixing.op4_mix,
+    "op5_mincut_text": mincut.op5_main_text,
     "op6_ngram_jaccard": jaccard.op6_jaccard,
     "op7_decontaminate": decontam.op7_decontaminate,
 }
