@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextloom.llm import decontam, jaccard, mincut, mixing, quality, substrings, warc
+from contextloom.llm import decontam, jaccard, langid, mincut, mixing, quality, substrings, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mincut_text": mincut.op5_main_text,
     "op6_ngram_jaccard": jaccard.op6_jaccard,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op8_language_ftrl": langid.op8_language,
 }
 
 SQL: dict[str, str] = {}
