@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextloom.llm import decontam, jaccard, langid, mincut, mixing, quality, substrings, warc
+from contextloom.llm import decontam, jaccard, langid, mincut, mixing, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_jaccard": jaccard.op6_jaccard,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_language_ftrl": langid.op8_language,
+    "op9_toxicity_crf": toxicity.op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
