@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextloom.llm import decontam, jaccard, langid, mincut, mixing, quality, substrings, toxicity, warc
+from contextloom.llm import decontam, jaccard, langid, lm, mincut, mixing, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_language_ftrl": langid.op8_language,
     "op9_toxicity_crf": toxicity.op9_toxicity,
+    "op10_lattice_lm": lm.op10_lattice,
 }
 
 SQL: dict[str, str] = {}
