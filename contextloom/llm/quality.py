@@ -1,6 +1,6 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histogram of character classes and its histogram of common words are compared with those of each
+A document's histogram of byte classes and its histogram of common words are compared with those of each
 reference language by the Jensen-Shannon distance (base 2, so 0 to 1). A document that is close to no language in
 both is rejected; too short a text gets no verdict from a histogram. Plain base rules come before.
 
@@ -17,25 +17,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.shared import free_name, words
+from contextloom.llm.shared import flat, flat_words, free_name, materialize, table
 
 #: Frequent function words by language, the bins of the word histograms.
 COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
-    "en": "the of and to in is that it for as was with be by on are this at from a".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par au sur pas avec".split(),
+    "de": "der die und in den von zu das mit des für ist".split(),
+    "en": "the of and to in is that it for as was on".split(),
+    "es": "de la que el en y los del las por un con".split(),
+    "fr": "de la le et les des en un du que est pour".split(),
 }
 
-#: Character classes as the contents of a bracket expression, taken one after the other; the rest is symbols.
-CLASSES = {
-    "lower": "a-z",
-    "space": r"\x20\x09-\x0D",
-    "upper": "A-Z",
-    "point": r".,;:!?'\"()\-",
-    "beyond_ascii": r"\x{80}-\x{10FFFF}",
-    "digit": "0-9",
-}
+#: Classes of bytes besides lower-case letters, white space and bytes within a character beyond ASCII.
+CLASSES = {"upper": "A-Z", "digit": "0-9", "point": r".,;:!?'\"()\-"}
+CHAR_BINS = ["space", "beyond_ascii", *CLASSES, "symbol", "lower"]
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULTS = [*BASE, "base_failed", "near_lang", "js_chars", "js_words", "kept"]
@@ -43,12 +37,12 @@ RESULTS = [*BASE, "base_failed", "near_lang", "js_chars", "js_words", "kept"]
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits; a distance is judged only over at least so many characters or words."""
+    """Limits; a distance is judged only over at least so many bytes or words."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_js_chars: float = 0.28
-    max_js_words: float = 0.36
+    max_js_words: float = 0.255
     guard_chars: int = 200
     guard_words: int = 80
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
@@ -58,58 +52,69 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
-def class_counts(text: Column) -> list[tuple[str, Column]]:
-    """Steps (name of a column, expression) that end in the counts; each step strips one class from what is left."""
-    steps, rest = [], text
-    for name, chars in CLASSES.items():
-        steps.append((name, rest, F.regexp_replace(rest, f"[{chars}]+", "")))
-        rest = F.col(f"_q_{name}")
-    return [(f"_q_{name}", left) for name, _, left in steps]
-
-
-def _with_histograms(docs: DataFrame, text: str, rules: QualityRules) -> DataFrame:
-    """Adds _q_text, _q_chars (array of class counts) and _q_<lang> (counts of its common words, then of the others)."""
+def measure(docs: DataFrame, text: str, rules: QualityRules) -> DataFrame:
+    """docs with the columns of BASE, q_chars (counts of CHAR_BINS) and q_<lang> (of its common words, then of the others)."""
     every = sorted({w for ws in rules.common_words.values() for w in ws})
-    df = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
-    before = "_q_text"
-    for name, left in class_counts(F.col("_q_text")):
-        df, before = df.withColumn(name, left), name
-    lengths = ["_q_text", *(f"_q_{c}" for c in CLASSES)]
-    counts = [F.char_length(F.col(a)) - F.char_length(F.col(b)) for a, b in zip(lengths, lengths[1:], strict=False)]
-    df = df.withColumn("_q_chars", F.array(*(_long(c) for c in [*counts, F.char_length(F.col(before))])))
-    df = df.withColumn("_q_words", words(F.col("_q_text")))
-    hits = F.array_join(F.filter("_q_words", lambda w: w.isin(every)), "  ")
-    df = df.withColumn("_q_hits", F.concat(F.lit(" "), hits, F.lit(" "))).withColumn("_q_n", F.size("_q_words"))
+    df = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("q_flat", flat(F.col("q_text")))
+    df = df.withColumn("q_words", flat_words(F.col("q_flat"))).withColumn("q_n", F.size("q_words"))
+    # what is neither a lower-case letter nor white space nor beyond ASCII is short, so the rest reads little
+    df = df.withColumn("q_odd", F.regexp_replace("q_flat", r"[a-z\x20\x{80}-\x{10FFFF}]+", ""))
+    df = df.withColumn("word_chars", _long(F.char_length("q_flat") - F.greatest(F.col("q_n") - 1, F.lit(0))))
+    rest = F.regexp_replace("q_odd", "[^%s]+" % "".join(CLASSES.values()), "")
+    df = df.withColumn("q_plain", rest)
+    spaces = F.char_length("q_text") - F.col("word_chars")
+    beyond = F.octet_length("q_text") - F.char_length("q_text")
+    known = [F.char_length(F.regexp_replace("q_plain", f"[^{c}]+", "")) for c in CLASSES.values()]
+    symbols = F.char_length("q_odd") - F.char_length("q_plain")
+    lower = F.octet_length("q_text") - spaces - beyond - F.char_length("q_odd")
+    df = df.withColumn("q_chars", F.array(*map(_long, [spaces, beyond, *known, symbols, lower])))
+    hits = F.array_join(F.filter("q_words", lambda w: w.isin(every)), "  ")
+    df = df.withColumn("q_hits", F.concat(F.lit(" "), hits, F.lit(" ")))
     for lang, own in rules.common_words.items():
         # each hit stands between two spaces of its own, so what a replacement takes away counts it
-        per = [(F.octet_length("_q_hits") - F.octet_length(F.replace(F.col("_q_hits"), F.lit(f" {w} "), F.lit("")))) / len(f" {w} ".encode()) for w in own]
-        df = df.withColumn(f"_q_{lang}", F.array(*map(_long, per)))
-        total = F.aggregate(F.col(f"_q_{lang}"), F.lit(0).cast("long"), lambda a, x: a + x)
-        df = df.withColumn(f"_q_{lang}", F.concat(F.col(f"_q_{lang}"), F.array(_long(F.col("_q_n")) - total)))
-    return df.drop(*(f"_q_{c}" for c in CLASSES), "_q_hits")
+        per = [(F.octet_length("q_hits") - F.octet_length(F.replace(F.col("q_hits"), F.lit(f" {w} "), F.lit("")))) / len(f" {w} ".encode()) for w in own]
+        df = df.withColumn(f"q_{lang}", F.array(*map(_long, per)))
+        total = F.aggregate(F.col(f"q_{lang}"), F.lit(0).cast("long"), lambda a, x: a + x)
+        df = df.withColumn(f"q_{lang}", F.concat(F.col(f"q_{lang}"), F.array(_long(F.col("q_n")) - total)))
+    df = df.withColumn("q_bits", F.char_length(F.bin("q_n")))
+    df = df.withColumn("q_sorted", sorted_windows(F.col("q_words"), F.col("q_n"), F.col("q_bits")))
+    up = lambda x: F.call_function("shiftright", x, F.col("q_bits"))
+    same = lambda x, y: F.coalesce(up(x) == up(y), F.lit(False))
+    at = lambda i: F.get(F.col("q_sorted"), i)
+    df = df.withColumn("q_twice", F.filter("q_sorted", lambda x, i: same(x, at(i - 1)) | same(x, at(i + 1))))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q_bits")) - 1
+    covered = F.flatten(F.transform("q_twice", lambda x: F.sequence(x.bitwiseAND(low), x.bitwiseAND(low) + 2)))
+    df = df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    return df.withColumns(
+        {
+            "n_words": _long(F.col("q_n")),
+            "n_symbols": _long(F.char_length(F.regexp_replace("q_odd", "[^#*$%&|<>]+", ""))),
+            "n_dup_lines": _long(F.size("q_lines") - F.size(F.array_distinct("q_lines"))),
+            "n_repeat_words": _long(F.size(F.array_distinct(covered))),
+        }
+    )
 
 
-def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> dict:
+def fit_references(measured: DataFrame, lang: str, rules: QualityRules) -> dict:
     """{language: (class shares, common-word shares)} over all long enough documents labelled with it.
 
-    One row for each language of rules.common_words comes to the driver, whatever the size of docs.
+    One row for each language of rules.common_words comes to the driver, whatever the size of the table.
     """
-    rules = rules or QualityRules()
-    own = docs.select(F.col(lang).alias("_q_lang"), F.col(text).alias("_q_in")).where(F.col("_q_lang").isin(list(rules.common_words)))
-    df = _with_histograms(own, "_q_in", rules).where(F.col("_q_n") >= rules.guard_words)
-    mine = F.lit(None).cast("array<long>")
+    df = measured.where(F.col(lang).isin(list(rules.common_words)) & (F.col("n_words") >= rules.guard_words))
+    own = F.lit(None).cast("array<long>")
     for code in rules.common_words:
-        mine = F.when(F.col("_q_lang") == code, F.col(f"_q_{code}")).otherwise(mine)
-    df = df.select("_q_lang", "_q_chars", mine.alias("_q_own"))
-    sizes = [len(CLASSES) + 1, max(map(len, rules.common_words.values())) + 1]
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, k in zip(("_q_chars", "_q_own"), sizes, strict=True) for i in range(k)]
+        own = F.when(F.col(lang) == code, F.col(f"q_{code}")).otherwise(own)
+    sizes = [len(CHAR_BINS), max(map(len, rules.common_words.values())) + 1]
+    df = df.select(F.col(lang).alias("lang"), "q_chars", own.alias("q_own"))
+    sums = [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for c, k in zip(("q_chars", "q_own"), sizes, strict=True) for i in range(k)]
     found = {}
-    for row in df.groupBy("_q_lang").agg(*sums).collect():
+    for row in df.groupBy("lang").agg(*sums).collect():
         hists = []
-        for c, k in (("_q_chars", sizes[0]), ("_q_own", len(rules.common_words[row["_q_lang"]]) + 1)):
+        for c, k in (("q_chars", sizes[0]), ("q_own", len(rules.common_words[row["lang"]]) + 1)):
             values = [row[f"{c}{i}"] or 0 for i in range(k)]
             hists.append([v / max(1, sum(values)) for v in values])
-        found[row["_q_lang"]] = tuple(hists)
+        found[row["lang"]] = tuple(hists)
     return dict(sorted(found.items()))
 
 
@@ -126,78 +131,56 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
     return F.when(total > 0, F.round(F.sqrt(F.greatest(divergence, F.lit(0.0))), 6))
 
 
-def repeat_words(ws: Column, n: Column, bits: Column) -> Column:
-    """Steps for the words that lie in 3-word windows found at least twice.
+def sorted_windows(ws: Column, n: Column, bits: Column) -> Column:
+    """The 3-word windows as sorted longs: a hash above, the place in the low bits (as many as places need).
 
-    A window is one long: its hash above, its place in the low bits (as many as the place needs), so that a sort of
-    primitive longs brings equal windows together in n log n, however long or repetitive a text is.
+    A sort of primitive longs brings equal windows together in n log n, however long or repetitive a text is.
     """
-    place = F.sequence(F.lit(0), n - 3)
     window = lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
-    packed = F.transform(place, lambda i: F.call_function("shiftleft", window(i), bits).bitwiseOR(i.cast("long")))
+    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", window(i), bits).bitwiseOR(i.cast("long")))
     return F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def judge(docs: DataFrame, references: dict, text: str = "text", rules: QualityRules | None = None) -> DataFrame:
-    """docs with the columns of RESULTS; a narrow transformation."""
-    rules = rules or QualityRules()
-    kept_columns = [c for c in docs.columns if c.lower() not in RESULTS]
-    inner = free_name([*docs.columns, *RESULTS], "_row")
-    df = docs.select(F.struct(*(F.col(c) for c in kept_columns)).alias(inner) if kept_columns else F.lit(None).alias(inner), F.col(text).alias("_q_in"))
-    df = _with_histograms(df, "_q_in", rules)
-    df = df.withColumn("_q_bits", F.char_length(F.bin("_q_n")))
-    df = df.withColumn("_q_sorted", repeat_words(F.col("_q_words"), F.col("_q_n"), F.col("_q_bits")))
-    up = lambda x: F.call_function("shiftright", x, F.col("_q_bits"))
-    same = lambda x, y: F.coalesce(up(x) == up(y), F.lit(False))
-    at = lambda i: F.get(F.col("_q_sorted"), i)
-    df = df.withColumn("_q_twice", F.filter("_q_sorted", lambda x, i: same(x, at(i - 1)) | same(x, at(i + 1))))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_q_bits")) - 1
-    covered = F.flatten(F.transform("_q_twice", lambda x: F.sequence(x.bitwiseAND(low), x.bitwiseAND(low) + 2)))
-    lines = F.filter(F.split("_q_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_q_lines", lines)
-    df = df.withColumns(
-        {
-            "n_words": _long(F.col("_q_n")),
-            "word_chars": _long(F.char_length(F.array_join("_q_words", ""))),
-            "n_symbols": _long(F.char_length(F.regexp_replace("_q_text", "[^#*$%&|<>]+", ""))),
-            "n_dup_lines": _long(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))),
-            "n_repeat_words": _long(F.size(F.array_distinct(covered))),
-        }
-    )
+def judge(measured: DataFrame, references: dict, rules: QualityRules) -> DataFrame:
+    """measured with base_failed, near_lang, js_chars, js_words and kept; a narrow transformation of small columns."""
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    n_chars, n_tokens = _long(F.char_length("_q_text")), _long(F.col("_q_n"))
+    df = measured.withColumn("base_failed", failed)
+    n_chars = F.aggregate("q_chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    df = df.withColumn("q_size", n_chars)
+    ranked = []
     for lang, (chars, common) in references.items():
-        df = df.withColumn(
-            f"_q_js_{lang}",
-            F.struct(
-                js_distance(F.col("_q_chars"), n_chars, chars).alias("js_chars"),
-                js_distance(F.col(f"_q_{lang}"), n_tokens, common).alias("js_words"),
-                F.lit(lang).alias("lang"),
-            ),
-        )
-    if references:
-        ranked = [F.struct((F.coalesce(F.col(f"_q_js_{x}.js_chars"), F.lit(1.0)) + F.coalesce(F.col(f"_q_js_{x}.js_words"), F.lit(1.0))).alias("sum"), F.lit(x).alias("lang"), F.col(f"_q_js_{x}").alias("js")) for x in references]
-        best = F.array_min(F.array(*ranked))
-        df = df.withColumn("_q_best", best)
-        df = df.withColumns({"near_lang": F.col("_q_best.lang"), "js_chars": F.col("_q_best.js.js_chars"), "js_words": F.col("_q_best.js.js_words")})
-    else:
-        df = df.withColumns({"near_lang": F.lit(None).cast("string"), "js_chars": F.lit(None).cast("double"), "js_words": F.lit(None).cast("double")})
+        js = F.struct(js_distance(F.col("q_chars"), F.col("q_size"), chars).alias("chars"), js_distance(F.col(f"q_{lang}"), F.col("n_words"), common).alias("words"))
+        df = df.withColumn(f"q_js_{lang}", js)
+        far = lambda part, lang=lang: F.coalesce(F.col(f"q_js_{lang}.{part}"), F.lit(1.0))
+        ranked.append(F.struct((far("chars") + far("words")).alias("sum"), F.lit(lang).alias("lang"), F.col(f"q_js_{lang}").alias("js")))
+    none = F.struct(F.lit(None).cast("double").alias("sum"), F.lit(None).cast("string").alias("lang"), F.struct(F.lit(None).cast("double").alias("chars"), F.lit(None).cast("double").alias("words")).alias("js"))
+    df = df.withColumn("q_best", F.array_min(F.array(*ranked)) if ranked else none)
+    df = df.withColumns({"near_lang": F.col("q_best.lang"), "js_chars": F.col("q_best.js.chars"), "js_words": F.col("q_best.js.words")})
     fits = lambda js, limit, n, guard: (n < guard) | js.isNull() | (js <= limit)
-    verdict = fits(F.col("js_chars"), rules.max_js_chars, n_chars, rules.guard_chars) & fits(F.col("js_words"), rules.max_js_words, n_tokens, rules.guard_words)
-    df = df.withColumn("kept", ~F.col("base_failed") & verdict)
-    return df.select(*(F.col(f"{inner}.{c}" if "." not in c else f"{inner}.`{c}`") for c in kept_columns), *RESULTS)
+    verdict = fits(F.col("js_chars"), rules.max_js_chars, F.col("q_size"), rules.guard_chars) & fits(F.col("js_words"), rules.max_js_words, F.col("n_words"), rules.guard_words)
+    return df.withColumn("kept", ~F.col("base_failed") & verdict)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None, references: dict | None = None) -> DataFrame:
-    """Every row of docs with its counts, nearest language, distances and verdict (RESULTS)."""
+def quality_rules(
+    docs: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None, references: dict | None = None, carry: list[str] | None = None
+) -> DataFrame:
+    """The columns in carry (all, if None) of every row of docs with RESULTS: counts, nearest language, distances, verdict.
+
+    Texts are read once: the small measurements go to a table, from which the references are summed and the verdicts made.
+    """
+    rules = rules or QualityRules()
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
+    inner = free_name([*docs.columns, *RESULTS], "_row")
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(None).cast("string")
+    df = docs.select(row.alias(inner), F.col(text).alias("q_in"), F.col(lang).alias("q_lang"))
+    small = [inner, "q_lang", *BASE, "q_chars", *(f"q_{x}" for x in rules.common_words)]
+    df = materialize(measure(df, "q_in", rules).select(*small), "measured")
     if references is None:
-        references = fit_references(docs, text, lang, rules)
-    return judge(docs, references, text, rules)
+        references = fit_references(df, "q_lang", rules)
+    out = judge(df, references, rules)
+    return out.select(*(F.col(f"{inner}.`{c}`") for c in carried), *RESULTS)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    from contextloom.llm.shared import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", *RESULTS)
+    return quality_rules(docs, carry=["doc_id"])

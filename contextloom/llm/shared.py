@@ -11,10 +11,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words: space and \t \n \v \f \r.
-SPACES = r"[\x20\x09-\x0D]+"
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where one machine runs everything."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,9 +51,14 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
-def words(text: Column) -> Column:
-    """Array of the words of a text, empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+def flat(text: Column) -> Column:
+    """A text with single spaces between words and none around; only what differs from that is matched."""
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+
+
+def flat_words(flat_text: Column) -> Column:
+    """Array of the words of a text made by flat."""
+    return F.when(flat_text == "", F.array().cast("array<string>")).otherwise(F.split(flat_text, " "))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
