@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contextloom.llm.shared import SPACES, free_name, materialize, table
+from contextloom.llm.shared import flat, free_name, materialize, table
 
 RESULTS = ["size", "source_size", "target", "copies", "taken"]
 #: A size class (the bit length of the size) is dealt to so many cells by hash.
@@ -31,9 +31,9 @@ OFFSETS = 1024
 
 def text_size(text: Column) -> Column:
     """Number of words."""
-    blank = F.coalesce(F.rtrim(F.regexp_replace(text, SPACES, " ")), F.lit(""))
-    spaces = F.octet_length(blank) - F.octet_length(F.replace(blank, F.lit(" "), F.lit("")))
-    return F.when(blank == "", 0).otherwise(spaces + F.when(F.substring(blank, 1, 1) == " ", 0).otherwise(1)).cast("long")
+    line = F.coalesce(flat(text), F.lit(""))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
@@ -71,9 +71,10 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 0,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """docs without text, with size, source_size, target, copies (times taken) and taken (words taken)."""
-    rest = [c for c in docs.columns if c.lower() not in RESULTS and c != text]
+    """The columns in carry (all, if None) of every row of docs, with size, source_size, target, copies (times taken) and taken (words taken)."""
+    rest = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
     inner = free_name([*docs.columns, *RESULTS], "_row")
     df = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in rest)).alias(inner),
@@ -113,4 +114,4 @@ def mix_sources(
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_sources(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
