@@ -15,10 +15,10 @@ Classes. The sketch of a document is its prefix in hash order that suffices even
 is frequent if more than `frequent` sketches have it; documents left short of rare tokens in their sketches add the rest of
 their sets to the count until none is short for want of counting.
 
-Links. The documents of one list are linked through its first document, not pair by pair; what is in one component by
-then needs no further comparison, and only documents of different components in one list are compared after that. Every
-candidate is first bounded by the sketches (an upper bound of the intersection, so nothing is lost), then counted
-exactly over the whole sets. Documents with equal sets are one class from the start; its smallest id stands for it.
+Links. The documents of one list are compared with its first document, not pair by pair. In the short lists of rare tokens
+only what is in different components after that is compared directly; long lists of pairs go through link_long_lists. Every
+candidate is first bounded by the sketches (an upper bound of the intersection, so nothing is lost), then counted exactly
+over the whole sets. Documents with equal sets are one class from the start; its smallest id stands for it.
 
 Defined results: null or blank texts have an empty set and link with nothing; fewer words than a shingle needs make one
 shingle; rows with one id share a component; rows without an id are left out (keep_first keeps them); an empty table gives an
@@ -42,6 +42,10 @@ SHINGLE = 4
 PERCENT = 85
 FREQUENT = 32
 GROUP = 5
+#: Rounds of heads over long lists before what is left is compared pair by pair.
+ROUNDS = 16
+#: Percent of similarity to a head from which documents are compared by the tokens in which they differ from it.
+HELD = 30
 #: Frequent tokens are sent to all executors up to so many (8 bytes each), and joined beyond.
 SENT_TOKENS = 2_000_000
 
@@ -217,27 +221,88 @@ def index_keys(docs: DataFrame, reps: DataFrame, size: int, percent: int, freque
     return keys, flags.mapInArrow(_pairs_of(percent), "key long, doc long, n int, short boolean")
 
 
-def verify(candidates: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the candidates (a, b) that link, as a table."""
+def bounded(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) with their sizes na, nb, but for those whose sketches rule a similarity of percent out."""
     side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = candidates.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(F.col("na"), F.col("nb"), percent))
     last = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
     upto = lambda s: F.size(F.filter(s, lambda x: x <= last))
     most = F.size(F.array_intersect("sa", "sb")) + F.least(F.col("na") - upto("sa"), F.col("nb") - upto("sb"))
     both = both.where(100 * most.cast("long") >= percent * (F.col("na") + F.col("nb") - most).cast("long"))
-    likely = materialize(both.select("a", "b", "na", "nb"), "likely")
+    return materialize(both.select("a", "b", "na", "nb"), "likely")
+
+
+def with_sets(likely: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """likely with whole sets ta, tb and both, either (sizes of intersection and union), and the table of the sets."""
     ids = likely.select(F.col("a").alias("doc")).unionByName(likely.select(F.col("b").alias("doc"))).distinct()
     sets = materialize(full_sets(docs, ids, size), "sets")
     own = lambda c: sets.select(F.col("doc").alias(c), F.col("tokens").alias(f"t{c}"))
-    inside = F.size(F.array_intersect("ta", "tb")).cast("long")
-    linked = likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", inside.alias("both"), (F.col("na") + F.col("nb") - inside).alias("either"))
-    linked = materialize(linked.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "linked")
+    df = likely.join(own("a"), "a").join(own("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    return df.withColumn("either", F.col("na") + F.col("nb") - F.col("both")), sets
+
+
+def verify(candidates: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the candidates (a, b) that link, as a table."""
+    likely = bounded(candidates, reps, percent)
+    df, sets = with_sets(likely, docs, size)
+    linked = materialize(df.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "linked")
     drop(sets)
+    drop(likely)
     return linked
 
 
+def link_long_lists(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Tables of links (a, b) that join what is linked in lists (key, doc, n, short) of any length, without their pairs.
+
+    Each list has a head c, its first short document, with which all others are compared. What is linked with c is one
+    component. If y is not linked with c and x links with y, then x has a token of y that c has not, or x is so small that
+    what y shares with c suffices; so those at least HELD percent similar to c meet by the tokens in which they differ from
+    c, and by size. By the triangle inequality of the Jaccard distance a document at distance d from c links only with such
+    whose distance is d give or take step = 1 - percent / 100. So of the others, those in the rim (less than a step below
+    HELD) can link with the inner ones (less than a step above), and the far ones with neither: rim and far ones go on to
+    the next round, under another head, and inner ones with them where a list has a rim.
+    After ROUNDS rounds the rest, if there is any, is compared pair by pair.
+    """
+    made, step = [], 100 - percent
+    for _ in range(ROUNDS):
+        heads = lists.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.when(F.col("short"), F.col("doc"))).alias("head")).where("docs > 1 and head is not null").select("key", "head")
+        lists = materialize(lists.join(heads, "key"), "lists")
+        if not lists.limit(1).count():
+            return made
+        stars = lists.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+        df, sets = with_sets(bounded(stars, reps, HELD - step), docs, size)
+        at = lambda least: 100 * F.col("both") >= least * F.col("either")
+        kind = F.when(at(percent), "linked").when(at(HELD + step), "near").when(at(HELD), "inner").otherwise("rim")
+        df = df.where(at(HELD - step)).withColumn("kind", kind)
+        own = F.when(F.col("kind") != "rim", F.array_except("tb", "ta"))
+        held = materialize(df.select("a", "b", F.col("nb").alias("n"), "both", "kind", own.alias("own")), "held")
+        drop(sets)
+        made.append(held.where("kind = 'linked'").select("a", "b"))
+        outside = "kind in ('near', 'inner')"
+        tokens = held.select("a", "b", "kind", F.explode("own").alias("token"))
+        met = tokens.join(tokens.where(outside).select("a", "token", F.col("b").alias("y")), ["a", "token"]).where("b <> y").select("b", "y")
+        least, most = F.ceil(percent * F.col("n") / 100).cast("int"), F.floor(F.col("both") * (100 + percent) / percent).cast("int") - F.col("n")
+        small = held.where(outside).where(most >= least).select("a", F.col("b").alias("y"), F.explode(F.sequence(least, most)).alias("n"))
+        met = met.unionByName(held.where("kind <> 'rim'").select("a", "b", "n").join(small, ["a", "n"]).where("b <> y").select("b", "y"))
+        met = met.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        made.append(verify(met, reps, docs, size, percent))
+        kinds = held.select(F.col("a").alias("head"), F.col("b").alias("doc"), "kind")
+        left = lists.where("doc <> head").join(kinds, ["head", "doc"], "left").where("kind is null or kind not in ('linked', 'near')")
+        left = left.withColumn("kind", F.coalesce("kind", F.lit("far"))).select("key", "doc", "n", "short", "kind")
+        rims = left.groupBy("key").agg(F.max(F.col("kind") == "rim").alias("rim"))
+        left = left.join(rims, "key").where("kind <> 'inner' or rim")
+        open_keys = left.groupBy("key").agg(F.max("short").alias("any"), F.count("*").alias("docs")).where("any and docs > 1").select("key")
+        lists = left.join(open_keys, "key").select("key", "doc", "n", "short")
+    other = lists.where("short").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"))
+    rest = lists.join(other, "key").where((F.col("doc") != F.col("doc2")) & _near_in_size(F.col("n"), F.col("n2"), percent))
+    made.append(verify(rest.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct(), reps, docs, size, percent))
+    return made
+
+
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(doc, n_shingles, component) for every row of docs with an id."""
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     made = materialize(slim.mapInArrow(_sketches(size, percent), "doc long, n int, c1 long, c2 long, sketch array<long>"), "sketches")
     own = materialize(made.select("doc", "n", "c1", "c2"), "classes")
@@ -250,32 +315,21 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # only lists with two documents at least are of use
     lists = single.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where("docs > 1").drop("docs")
     single = materialize(single.join(lists, "key"), "single")
-    stars = single.where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    stars = single.where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    links = verify(stars, reps, slim, size, percent)
     if pairs is not None:
-        lists = pairs.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.when(F.col("short"), F.col("doc"))).alias("first"))
-        pairs = materialize(pairs.join(lists.where("docs > 1 and first is not null").drop("docs"), "key"), "pairs")
-        stars = stars.unionByName(pairs.where("doc <> first").select(F.least("doc", "first").alias("a"), F.greatest("doc", "first").alias("b")))
-    links = verify(stars.distinct(), reps, slim, size, percent)
+        for more in link_long_lists(materialize(pairs, "pairs"), reps, slim, size, percent):
+            links = links.unionByName(more)
+    links = materialize(links.distinct(), "links")
+    # in a short list what is still in different components is compared directly
     found = components(links)
-    # what is still in different components in one list is compared directly
-    named = lambda df: df.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    left = materialize(named(single), "left")
+    left = materialize(single.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "left")
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     left = left.join(mixed, "key").select("key", "doc", "n", "comp")
     other = left.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     rest = left.join(other, "key").where((F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & _near_in_size(F.col("n"), F.col("n2"), percent))
-    rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
-    if pairs is not None:
-        held = materialize(named(pairs), "held")
-        # the largest component of a list, and those outside it
-        main = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        held = held.join(main.select("key", "main"), "key").select("key", "doc", "n", "comp", "short", "main")
-        outside = held.where("comp <> main").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("short").alias("short2"))
-        across = held.join(outside, "key").where((F.col("comp") != F.col("comp2")) & (F.col("short") | F.col("short2")) & _near_in_size(F.col("n"), F.col("n2"), percent))
-        rest = rest.unionByName(across.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")))
-    rest = rest.distinct().join(stars.distinct(), ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(verify(rest, reps, slim, size, percent)), "links")
-    found = components(links)
+    rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    found = components(links.unionByName(verify(rest, reps, slim, size, percent)))
     classes = classes.select("n", "c1", "c2", "rep").join(found.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     out = own.join(classes.select("n", "c1", "c2", "comp"), ["n", "c1", "c2"], "left")
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("component"))
