@@ -5,7 +5,7 @@ hashed; two labels (other, toxic) form a chain. Labels of documents become label
 least `least_docs` toxic training documents, and far oftener in toxic than in other ones, marks the tokens of toxic
 documents that have it. The field is trained on these tokens by stochastic gradient on its likelihood, over whole texts of a
 sample of about `sample` training documents, half of them toxic if there are as many. Forward-backward marginals give each
-token's probability; the sum of a document's marginals and their largest, put through a logistic curve fitted on the same
+token's probability; the sum of what a document's marginals have above a floor, and their largest, put through a logistic curve fitted on the same
 documents, is its score, and the tokens with a marginal of one half or more are its offending offsets.
 
 Defined results: null, empty and wordless texts get the score of a document without a toxic token; without labelled rows of
@@ -35,6 +35,9 @@ SAMPLE = 5000
 LEAST_DOCS = 4
 LEAST_SHARE = 0.8
 EPOCHS, RATE, DECAY, TOGETHER = 4, 0.15, 1e-5, 64
+FLOOR = 0.1
+#: Steps of training at least; a small sample is gone through more often.
+STEPS = 200
 #: Distinct words whose features a worker remembers.
 REMEMBERED = 400_000
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + " «»“”„‘’…–—¡¿"
@@ -110,6 +113,11 @@ def token_labels(texts: list[list[str]], toxic: list[bool], least_docs: int, lea
     return rows, [np.array([label and marks[w] for w in ws], dtype=np.float64) for ws, label in zip(texts, toxic, strict=True)]
 
 
+def mass(p: np.ndarray) -> float:
+    """Sum of what marginals have above FLOOR, so that many hardly suspect tokens of a long text do not add up."""
+    return float(np.maximum(p - FLOOR, 0.0).sum() / (1 - FLOOR))
+
+
 class Field:
     def __init__(self, w: np.ndarray, trans: np.ndarray, curve: tuple[float, float, float]):
         self.w, self.trans, self.curve = w, trans, curve
@@ -141,7 +149,7 @@ class Field:
 
     def score(self, p: np.ndarray) -> float:
         a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(p.sum()) + c * (p.max() if len(p) else 0.0), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(mass(p)) + c * (p.max() if len(p) else 0.0), -30, 30))))
 
 
 def fit(texts: list[list[str]], toxic: list[bool], least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> Field:
@@ -152,7 +160,7 @@ def fit(texts: list[list[str]], toxic: list[bool], least_docs: int = LEAST_DOCS,
     ids = [np.array([at[w] for w in ws], dtype=np.int64) for ws in texts]
     w, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     seen, seen_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS * TOGETHER // max(1, len(texts))))):
         order = np.random.default_rng(epoch).permutation(len(texts))
         for k in range(0, len(order), TOGETHER):
             part = [i for i in order[k : k + TOGETHER] if len(ids[i])]
@@ -179,7 +187,7 @@ def fit(texts: list[list[str]], toxic: list[bool], least_docs: int = LEAST_DOCS,
     w[0] = 0.0
     field = Field(w, trans, (0.0, 0.0, 0.0))
     p = [x for k in range(0, len(texts), 512) for x in field.marginals(texts[k : k + 512])]
-    x = np.array([[1.0, np.log1p(q.sum()), q.max() if len(q) else 0.0] for q in p])
+    x = np.array([[1.0, np.log1p(mass(q)), q.max() if len(q) else 0.0] for q in p])
     y, c = np.array(toxic, dtype=np.float64), np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
         s = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
