@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextloom.llm import decontam, jaccard, langid, lm, mincut, mixing, quality, substrings, toxicity, warc
+from contextloom.llm.sql import SQL as SQL
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_quality,
@@ -17,4 +18,3 @@ QUERIES = {
     "op10_lattice_lm": lm.op10_lattice,
 }
 
-SQL: dict[str, str] = {}
