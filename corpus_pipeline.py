@@ -20,6 +20,7 @@ from contextloom.llm.jaccard import keep_first
 from contextloom.llm.mixing import mix_sources
 from contextloom.llm.quality import quality_rules
 from contextloom.llm.shared import materialize, table
+from contextloom.llm.sql import OP1, OP3, OP4, OP6, OP7
 from contextloom.llm.substrings import deduplicate_substrings
 
 
@@ -55,8 +56,23 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: Some stages are beyond SQL on whole tables; the tests hold run() against a brute-force version.
-ORACLE_SQL: str | None = None
+
+
+def _over(query: str, name: str) -> str:
+    return query.replace("documents", name)
+
+
+def _oracle() -> str:
+    kept = OP3.replace("sha256(array_to_string(", "(array_to_string(").replace("kept_sha256", "kept_text")
+    return f"""with s1 as materialized (select d.* from documents d join ({OP1}) q using (doc_id) where q.kept),
+s2 as materialized (select d.* from s1 d join ({_over(OP6, "s1")}) q using (doc_id) where q.component_id = doc_id),
+s3 as materialized (select d.doc_id, case when q.n_removed > 0 then q.kept_text else d.text end as text, d.lang, d.source from s2 d join ({_over(kept, "s2")}) q using (doc_id) where q.n_removed < q.n_words or q.n_removed = 0),
+s4 as materialized (select d.* from s3 d join ({_over(OP7, "s3")}) q using (doc_id) where not q.contaminated)
+select d.doc_id, d.lang, d.source, q.size, q.source_size, q.target, q.copies, q.taken from s4 d join ({_over(OP4, "s4")}) q using (doc_id) where q.copies > 0"""
+
+
+#: The same rows in DuckDB.
+ORACLE_SQL: str | None = _oracle()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
