@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from contextloom.llm.langid import fold
 from contextloom.llm.lattice import Pieces
-from contextloom.llm.shared import free_name, materialize, table
+from contextloom.llm.shared import drop, free_name, materialize, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS = 2
@@ -186,6 +186,7 @@ def score_documents(
             model = Pieces(model.pieces, byte_ids, np.log(total / total.sum()))
     values = words.mapInArrow(_values(sc.broadcast(model)), "word binary, c long, every long, h1 long, h2 long, lp double")
     values = materialize(values, "values")
+    drop(words)
     top = values.orderBy(F.desc("every"), "word").limit(frequent).select("word", "c", "lp").collect()
     lookup = {bytes(r["word"]): (int(r["c"] > 0), float(np.log10(r["c"] + 1)), r["lp"]) for r in top}
     parts = materialize(slim.select("doc", "row", "text").mapInArrow(_document_parts(sc.broadcast(lookup), n, v), _PARTS), "parts")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.llm.hashing import BASES, Words, slices, stretches
-from contextloom.llm.shared import free_name, materialize, table
+from contextloom.llm.shared import drop, free_name, materialize, table
 
 WINDOW = 50
 GRAM = 16
@@ -161,8 +161,10 @@ def duplicate_blocks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     anchors = blocks.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("h1").alias("a"), F.max("h1").alias("b"))
     anchors = anchors.where("lo < hi").select("anchor", (F.col("a") == F.col("b")).alias("uniform"))
     shared = materialize(blocks.join(anchors, "anchor").drop("anchor"), "shared")
+    drop(blocks)
     first = shared.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     marked = materialize(shared.join(first, ["h1", "h2"]).drop("h1", "h2"), "marked")
+    drop(shared)
     whole = marked.where("doc > first").select("doc", "row", "start", "runs")
     # a block that differs from others with its anchor is checked run by run, once for each content
     ends = marked.where("doc = first and not uniform").select("doc", "row", "start", "runs")
