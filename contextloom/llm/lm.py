@@ -8,8 +8,8 @@ Probabilities of pieces start from the file's scores (which order pieces by merg
 1 / (r + 10)) and are re-estimated from the word counts of all training documents: each round sums the expected uses of
 pieces over the lattices of all distinct words. The end is one more piece, used once a document.
 
-Counts are exact and grow with the corpus: words are counted in each task, then in Spark. The `frequent` most frequent words
-(a fixed number) are sent to all executors with their values; other words of a document are joined by a 128-bit hash.
+Counts are exact and grow with the corpus: words are counted in each task, then in Spark. The most frequent words
+(`frequent` at most) are sent to all executors with their values; other words of a document are joined by a 128-bit hash.
 
 Defined results: null texts are empty and get the end's score; repeated rows are scored alike; without training documents
 base counts are 0 and pieces keep their first probabilities; other columns pass through, but a column with the name of a
@@ -187,7 +187,15 @@ def score_documents(
     values = words.mapInArrow(_values(sc.broadcast(model)), "word binary, c long, every long, h1 long, h2 long, lp double")
     values = materialize(values, "values")
     drop(words)
-    top = values.orderBy(F.desc("every"), "word").limit(frequent).select("word", "c", "lp").collect()
+    # words are cut by a class of their count, so no task and no driver gets a top list from every partition
+    rank = F.floor(F.log2("every") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(values.groupBy(rank.alias("rank")).count().collect(), key=lambda r: -r["rank"]):
+        held += r["count"]
+        if held > frequent:
+            break
+        least = r["rank"]
+    top = values.where(rank >= least).select("word", "c", "lp").collect() if least is not None else []
     lookup = {bytes(r["word"]): (int(r["c"] > 0), float(np.log10(r["c"] + 1)), r["lp"]) for r in top}
     parts = materialize(slim.select("doc", "row", "text").mapInArrow(_document_parts(sc.broadcast(lookup), n, v), _PARTS), "parts")
     rare = parts.dropDuplicates(["doc", "row"]).select("doc", "row", F.explode(F.arrays_zip("h1", "h2", "often")).alias("x")).select("doc", "row", "x.h1", "x.h2", "x.often")
