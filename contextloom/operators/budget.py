@@ -6,7 +6,9 @@ express it. It runs over one small row per file (costs and a summary of at most
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,26 +73,34 @@ def allocate(candidates: DataFrame, group: str, budget: str) -> DataFrame:
     df = candidates.select(F.col(group).alias("grp"), F.col(budget).cast("long").alias("budget"), "path", "score", "full", "focused", "signatures", "summary")
     kind = candidates.schema[group].dataType.simpleString()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "path"], ascending=[False, True], kind="stable")
-        left, out = int(rows["budget"].iloc[0]), []
-        for path, full, focused, signatures, summary in rows[["path", "full", "focused", "signatures", "summary"]].itertuples(index=False):
-            mode, cost, text = "skipped", 0, None
-            if pd.notna(full) and full <= left:
-                mode, cost = "full", int(full)
-            elif pd.notna(focused) and 0 < focused <= left and (full == 0 or focused < full * FOCUS_WORTH):
-                mode, cost = "focused", int(focused)
-            elif pd.notna(signatures) and 0 < signatures <= left:
-                mode, cost = "signature_only", int(signatures)
-            else:
-                text = shorten(summary if isinstance(summary, str) else None, left)
-                if text is not None:
-                    mode, cost = "summary_only", len(text.encode()) // 4
-            left -= cost
-            out.append((rows["grp"].iloc[0], path, mode, cost, text))
-        return pd.DataFrame(out, columns=["grp", "path", "mode", "tokens_used", "summary"])
-
-    return df.groupBy("grp").applyInPandas(fold, f"grp {kind}, {_CHOSEN}").withColumnRenamed("grp", group)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = (), 0
+        for rows in batches:
+            modes, costs, texts = [], [], []
+            for grp, budget, full, focused, signatures, summary in zip(*(rows.column(c).to_pylist() for c in ("grp", "budget", "full", "focused", "signatures", "summary")), strict=True):
+                if now != (grp,):
+                    now, left = (grp,), budget
+                mode, cost, text = "skipped", 0, None
+                if full is not None and full <= left:
+                    mode, cost = "full", full
+                elif focused is not None and 0 < focused <= left and full is not None and (full == 0 or focused < full * FOCUS_WORTH):
+                    mode, cost = "focused", focused
+                elif signatures is not None and 0 < signatures <= left:
+                    mode, cost = "signature_only", signatures
+                else:
+                    text = shorten(summary, left)
+                    if text is not None:
+                        mode, cost = "summary_only", len(text.encode()) // 4
+                left -= cost
+                modes.append(mode)
+                costs.append(cost)
+                texts.append(text)
+            chosen = [rows.column("grp"), rows.column("path"), pa.array(modes, pa.string()), pa.array(costs, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(chosen, ["grp", "path", "mode", "tokens_used", "summary"])
+
+    # a group's rows follow one another within one partition, so only what is left is held, however long the list
+    best = F.desc_nulls_last(F.nanvl(F.col("score").cast("double"), F.lit(None)))
+    return df.repartition("grp").sortWithinPartitions("grp", best, "path").mapInArrow(fold, f"grp {kind}, {_CHOSEN}").withColumnRenamed("grp", group)
 
 
 def keep_prefix(changes: DataFrame, group: list[str], cost: str, effective: Column) -> DataFrame:

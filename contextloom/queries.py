@@ -142,7 +142,6 @@ def share_budget(spark, sf_dir):
     select task_id, path, mode, cost as tokens_used from g where rn > 0""",
 )
 def allocate_modes(spark, sf_dir):
-    top = S.rank(keyword_scores(spark, sf_dir), top=60)
     size = F.octet_length("content")
     costs = files(spark, sf_dir).select(
         "path",
@@ -151,7 +150,7 @@ def allocate_modes(spark, sf_dir):
         F.when(F.char_length("content") % 2 == 0, F.floor(size / 16)).cast("long").alias("signatures"),
         F.lit(None).cast("string").alias("summary"),
     )
-    return B.allocate(top.join(costs, "path").withColumn("budget", F.lit(3000)), "task_id", "budget").drop("summary")
+    return B.allocate(keyword_scores(spark, sf_dir).join(costs, "path").withColumn("budget", F.lit(3000)), "task_id", "budget").drop("summary")
 
 
 @query("normalize_text", "select doc_id, trim(regexp_replace(replace(lower(text), '''', ''), '[^\\p{L}\\p{N}_\\-./]+', ' ', 'g')) as norm from documents")

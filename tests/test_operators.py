@@ -9,6 +9,7 @@ from contextloom.operators import inspect as I
 from contextloom.operators import render as R
 from contextloom.operators import scoring as S
 from contextloom.operators import vector as V
+from contextloom.queries import allocate_modes, mode_counts
 from contextloom.shipping import ship
 
 
@@ -46,6 +47,35 @@ def test_allocate_forms(spark):
     assert got["d"]["mode"] == "full" and got["d"].tokens_used == 0
 
 
+def test_allocate_modes_takes_all_files_of_a_task(spark, tmp_path):
+    # lists longer than 60 and than an Arrow batch; most files are too large for what is left
+    sizes = {i: 13_001 + 6 * (i % 5) if i % 9 else 700 + i for i in range(300)}
+    texts = {i: (("alpha beta " if i % 2 else "alpha ") + "x" * n)[:n] for i, n in sizes.items()} | {300: "beta", 301: "gamma"}
+    spark.createDataFrame([(i, x, "en", "s") for i, x in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for task, wanted in ((1, {"alpha", "beta"}), (2, {"beta"}), (3, {"gamma"})):
+        scored = [(-len(wanted & set(x.split())) / len(wanted), f"s/{i}.en", len(x)) for i, x in texts.items() if wanted & set(x.split())]
+        left = 3000
+        for _, path, n in sorted(scored):
+            forms = [("full", n // 4, True), ("focused", n // 10, n % 3 == 0 and n // 10 < n // 4 * 0.8), ("signature_only", n // 16, n % 2 == 0)]
+            mode, cost = next(((m, c) for m, c, there in forms if there and c <= left and (c or m == "full")), ("skipped", 0))
+            want[task, path] = mode, cost
+            left -= cost
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = allocate_modes(spark, str(tmp_path)).collect()
+        counts = mode_counts(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(size, old)
+    assert len(got) == len(want) and {(r.task_id, r.path): (r["mode"], r.tokens_used) for r in got} == want
+    late = [mode for (task, _), (mode, _) in want.items() if task == 1][60:]
+    assert len(late) == 241 and set(late) >= {"full", "skipped"}
+    assert sum(r.files for r in counts) == len(want)
+
+
 def test_truncate_memory(spark):
     rows = [
         ("c", "open_question", "q" * 40, 0.6, 3, 1),
