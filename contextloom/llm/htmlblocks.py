@@ -25,6 +25,8 @@ CONTAINERS = set("html body article main section nav aside header footer div for
 #: Elements that begin and end blocks besides containers.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre caption figcaption legend summary hr option".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What follows one of these in a class or id is something that the element has or lacks, not what it is.
+QUALIFIERS = {"has", "have", "no", "not", "with", "without", "hide", "show"}
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+")
 
 
@@ -55,7 +57,9 @@ def _marks(rest: str) -> tuple[frozenset[str], bool]:
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "itemprop"):
-            marks += [x.lower() for x in CAMEL.split(value) if x]
+            for one in value.split():
+                words = [x.lower() for x in CAMEL.split(one) if x]
+                marks += words[: next((k for k, x in enumerate(words) if x in QUALIFIERS), None)]
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
     return frozenset(marks), hidden

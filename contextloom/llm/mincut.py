@@ -8,6 +8,11 @@ to the container around them. The minimum cut is the labelling of least total co
 A node whose terminal capacity is larger than all its edges together has its label in every minimum cut, so such nodes
 are settled first, again and again, their edges becoming terminal capacity of their neighbours; max-flow decides the rest.
 
+A form or a box with a word like "sidebar" among its names may be a mere wrapper of the page. It is one if it holds most
+of the prose, and most of that within articles if there are such; then it tells nothing. Otherwise an article within a form
+counts as if outside of it, and one within or with such a word is weighed by its blocks. Within navigation, footers, asides,
+hidden boxes and comments nothing else is telling; comments are a wrapper only of a page that has no other prose.
+
 Defined results: null and blank pages have an empty text; a page that is all boilerplate has an empty text; repeated
 rows are extracted one by one; other columns pass through, but a column with the name of a result is replaced.
 """
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.htmlblocks import HEADINGS, Page, parse
+from contextloom.llm.htmlblocks import HEADINGS, Container, Page, parse
 from contextloom.llm.shared import free_name, table
 
 RESULTS = ["text", "n_chars"]
@@ -34,35 +39,83 @@ BAD_MARKS = set(
     "subscribe subscription newsletter search share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget "
     "copyright legal disclaimer toolbar contentinfo complementary tags skip".split()
 )
+COMMENT_MARKS = set("comment comments reply replies respond disqus discussion".split())
 LINK_MARK, OUTSIDE, BODY, LINKS, SHORT, COPYRIGHT = 9.0, 2.5, 1.0, 3.0, 0.5, 4.0
 LENGTHS = ((400, 3.0), (160, 2.0), (60, 1.0))
+#: Taken from an article that has or is within a box with a bad mark; long text outweighs the rest.
+DOUBT = 6.0
+#: Characters of a block of prose, and of the prose of a page that a box with a bad mark may wrap.
+PROSE, WRAPPED = 60, 160
 NEXT_SAME, NEXT_OTHER, TREE = 0.6, 0.2, 0.4
 
 
+def _bad_mark(box: Container) -> bool:
+    return box.name not in ("html", "body") and bool(box.marks & BAD_MARKS) and not box.marks & GOOD_MARKS
+
+
+def wrappers(page: Page) -> set[int]:
+    """Forms and boxes with bad marks that hold most of the page's prose."""
+    boxes = page.boxes
+    unsure = [k for k, box in enumerate(boxes) if box.name == "form" or _bad_mark(box)]
+    if not unsure:
+        return set()
+    shut, comment, article, good = ([False] * len(boxes) for _ in range(4))
+    for k, box in enumerate(boxes):
+        up = box.parent
+        shut[k] = up >= 0 and shut[up] or box.hidden or box.name in BAD_TAGS and box.name not in ("form", "header", "address")
+        comment[k] = up >= 0 and comment[up] or _bad_mark(box) and bool(box.marks & COMMENT_MARKS)
+        article[k] = up >= 0 and article[up] or box.name in GOOD_TAGS
+        good[k] = up >= 0 and good[up] or box.name not in ("html", "body") and bool(box.marks & GOOD_MARKS) and not box.marks & BAD_MARKS
+    prose = [(b.box, len(b.text)) for b in page.blocks if len(b.text) >= PROSE and b.linked <= 0.5 * len(b.text) and not shut[b.box]]
+    prose = [x for x in prose if not comment[x[0]]] or prose
+    telling = [x for x in prose if article[x[0]]] or [x for x in prose if good[x[0]]] or prose
+    held = []
+    for part in (prose, telling):
+        sums = [0] * len(boxes)
+        for k, n in part:
+            sums[k] += n
+        for k in range(len(boxes) - 1, 0, -1):  # a box comes after the one around it
+            sums[boxes[k].parent] += sums[k]
+        held.append(sums)
+    most = lambda k: all(2 * sums[k] > sums[0] for sums in held)
+    return {k for k in unsure if most(k) and (held[0][0] >= WRAPPED or not _bad_mark(boxes[k]))}
+
+
 def container_scores(page: Page) -> list[float]:
     """For each container the score of the nearest telling container at or around it."""
+    wraps = wrappers(page)
     scores: list[float] = []
     inside: list[bool] = []
-    for box in page.boxes:
+    closed: list[int] = []  # what bad boxes are around: 0 none, 1 forms, 2 bad marks, 3 such that nothing within is telling
+    for k, box in enumerate(page.boxes):
         around = scores[box.parent] if box.parent >= 0 else 0.0
         held = inside[box.parent] if box.parent >= 0 else False
+        shut = closed[box.parent] if box.parent >= 0 else 0
         good, bad = bool(box.marks & GOOD_MARKS), bool(box.marks & BAD_MARKS)
         if box.hidden:
-            score = -LINK_MARK
-        elif box.name in BAD_TAGS and not (box.name == "header" and held):
-            score = -BAD_TAGS[box.name]
-        elif bad and not good and box.name not in ("html", "body"):
-            score = -LINK_MARK
-        elif around < -6:  # within boilerplate only an article's own element is telling
+            score, shut = -LINK_MARK, 3
+        elif box.name in BAD_TAGS and box.name != "form" and not (box.name == "header" and held):
+            score, shut = -BAD_TAGS[box.name], shut if box.name in ("header", "address") else 3
+        elif shut == 3:
             score = around
+        elif _bad_mark(box) and k not in wraps:
+            if box.marks & COMMENT_MARKS:
+                score, shut = -LINK_MARK, 3
+            else:
+                score, shut = GOOD_TAGS[box.name] - DOUBT if box.name in GOOD_TAGS else -LINK_MARK, 2
+        elif box.name == "form" and k not in wraps:
+            score, shut = -BAD_TAGS["form"], max(shut, 1)
         elif box.name in GOOD_TAGS:
-            score = GOOD_TAGS[box.name]
+            score, shut = (GOOD_TAGS[box.name] - DOUBT, 2) if shut == 2 else (GOOD_TAGS[box.name], 0)
+        elif around < -6:  # within boilerplate only an article's own element is telling
+            score = around
         elif good and not bad and box.name not in ("html", "body"):
             score = max(around, 3.0)
         else:
             score = around
         scores.append(score)
         inside.append(held or box.name == "article")
+        closed.append(shut)
     return scores
 
 

@@ -151,6 +151,27 @@ def test_extraction(spark):
     assert got[5].text == ("word and, more. " * 5000).strip() and got[5].n_chars == len(got[5].text)
 
 
+def test_extraction_of_wrapped_pages():
+    one, two = "First words of the story, told at some length. " * 8, "Second words, a few more of them, for the end of it. " * 3
+    body, said = f"<h2>Head</h2><p>{one}</p><p>{two}</p>", "I agree with all of it, and I should like to add some words of my own. " * 20
+    want = f"Head\n{one.strip()}\n{two.strip()}"
+    nav, foot = "<nav><p>Go here, go there, go on and on to all of the other places of this site.</p></nav>", "<footer>Me</footer>"
+    for box in ("form id=f", "div class='has-sidebar'", "div class='no-comments'", "div class=hasSidebar", "div id=page class='sidebar left'", "div class='discussion'"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>", f"<div><div class=x>{body}</div></div>"):
+            assert mincut.main_text(f"<html><body>{nav}<{box}>{inner}</{box.split()[0]}>{foot}</body></html>") == want, (box, inner)
+    for box in ("article class='has-comments'", "main class='with-sidebar'", "article class=share"):
+        assert mincut.main_text(f"<body>{nav}<{box}>{body}</{box.split()[0]}>{foot}</body>") == want, box
+    # each of two forms holds half
+    assert mincut.main_text(f"<form><article><p>{one}</p></article></form><form><article><p>{one}</p></article></form>") == f"{one.strip()}\n{one.strip()}"
+    # what is no wrapper stays boilerplate, whatever it holds
+    for rest in (f"<section id=comments><article class=comment><p>{said}</p></article></section>", f"<aside><article><p>{said}</p></article></aside>", f"<div class=sidebar><p>{said}</p></div>", "<div class=related><article><a href=/>Some other story that is told elsewhere</a></article></div>"):
+        assert mincut.main_text(f"<body>{nav}<form><article>{body}</article>{rest}</form>{rest}{foot}</body>") == want, rest
+        assert mincut.main_text(f"<body>{nav}<article>{body}</article>{rest}{foot}</body>") == want, rest
+    assert mincut.main_text(f"<body><p>{one}</p><div id=comments><p>{said}</p></div></body>") == one.strip()
+    assert mincut.main_text(f"<body>{nav}<div class=cookie-notice><p>We use cookies to make this page better for all of our readers.</p></div>{foot}") == ""
+    assert mincut.main_text(f"<body>{nav}<form><label>Name</label></form>{foot}") == ""
+
+
 def test_derivatives_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     responses = warc.responses_of(pages)
