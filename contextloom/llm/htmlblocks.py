@@ -21,6 +21,10 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "head", "title", "canvas", "audio", "video", "map", "datalist"}
 #: Of those, the ones in which < does not begin a tag.
 RAW = {"script", "style", "textarea", "title", "iframe"}
+#: Of those, the ones that go on to the end of the page where they have no end tag; of others, only the tag is skipped then.
+ENDLESS = {"script", "style"}
+#: Elements that can be in a head.
+IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "noframes", "template", "head", "html"}
 CONTAINERS = set("html body article main section nav aside header footer div form ul ol dl menu table thead tbody tfoot tr figure fieldset details dialog blockquote address center hgroup search".split())
 #: Elements that begin and end blocks besides containers.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre caption figcaption legend summary hr option".split())
@@ -87,6 +91,8 @@ def parse(source: str) -> Page:
                 linked += len(chunk.strip())
 
     size = len(source)
+    ends: dict[str, dict[int, int]] = {}
+    open_head = False
     while at < size:
         to = source.find("<", at)
         if to < 0:
@@ -121,13 +127,12 @@ def parse(source: str) -> Page:
         elif name in SILENT:
             if m["rest"].endswith("/") and name == "svg":
                 continue
-            if name == "head":  # ends at the body, or at its end tag
-                stop = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(_blank_raw(source, at), at)
-            else:
-                stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             if name not in ("button", "select", "textarea", "option"):
                 parts.append(" ")
-            at = stop.end() if stop else size
+            if name == "head":
+                at, open_head = _head_end(source, at, open_head, ends)
+            else:
+                at = _silent_end(source, name, at, ends)
         elif name in CONTAINERS:
             end()
             tag = ""
@@ -163,9 +168,49 @@ def _inline(source: str) -> str:
     return html.unescape(TOKEN.sub(lambda m: " " if (m["name"] or "").lower() == "br" else "", source))
 
 
-def _blank_raw(source: str, at: int) -> str:
-    """source in which raw text of the head cannot be mistaken for tags."""
-    stop = re.compile(r"</head\s*>", re.I).search(source, at)
-    if stop and not re.search(r"<(?:script|style|title)", source[at : stop.start()], re.I):
-        return source
-    return re.compile(r"(<(script|style|title)\b[^>]*>)(.*?)(</\2\s*>)", re.I | re.S).sub(lambda m: m[1] + " " * len(m[3]) + m[4], source, count=64) if stop or re.search(r"<body[\s>]", source, re.I) else source
+def _silent_end(source: str, name: str, at: int, ends: dict[str, dict[int, int]]) -> int:
+    """Where an element whose start tag ends at `at` has its end; `at` itself if it has no end tag.
+
+    ends keeps the ends of all elements of a name, so that the page is searched once for each name.
+    """
+    if name not in ends:
+        found = ends[name] = {}
+        begun: list[int] = []
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])(?:((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^>]*(?:>|\Z))", re.I).finditer(source):
+            if m[2] is None:  # cut within a quote, so TOKEN sees no name
+                continue
+            if m[1]:
+                if begun and name in RAW and name != "iframe":  # the first begins it, what looks like more of them is its text
+                    found.update(dict.fromkeys(begun, m.end()))
+                    begun.clear()
+                elif begun:
+                    found[begun.pop()] = m.end()
+            elif not (m[2].endswith("/") and name in ("svg", "math")):
+                begun.append(m.end())
+    return ends[name].get(at, len(source) if name in ENDLESS else at)
+
+
+def _head_end(source: str, at: int, early: bool, ends: dict[str, dict[int, int]]) -> tuple[int, bool]:
+    """Where a head ends: after its end tag, before the body, or else before the first thing that cannot be in a head.
+
+    Also whether neither tag follows; with early that is known, and the search ends at the first such thing.
+    """
+    first, size = None, len(source)
+    while at < size and not (early and first is not None):
+        to = source.find("<", at)
+        if first is None and source[at : to if to >= 0 else size].strip():
+            first = at
+        if to < 0:
+            break
+        m = TOKEN.match(source, to)
+        at = m.end() if m else to + 1
+        name = (m["name"] or "").lower() if m else ""
+        if m and name == "head" and m["close"]:
+            return at, False
+        if name == "body" and not m["close"]:
+            return to, False
+        if first is None and (not m or name and name not in IN_HEAD and not m["close"]):
+            first = to
+        if name in SILENT and name != "head" and not m["close"]:
+            at = _silent_end(source, name, at, ends)
+    return size if first is None else first, True

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contextloom.llm import langid, lm, mincut, toxicity, warc
+from contextloom.llm import htmlblocks, langid, lm, mincut, toxicity, warc
 from contextloom.llm.lattice import Pieces
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +172,27 @@ def test_extraction_of_wrapped_pages():
     assert mincut.main_text(f"<body>{nav}<form><label>Name</label></form>{foot}") == ""
 
 
+def test_silent_elements_without_end_tags():
+    text = lambda x: "\n".join(b.text for b in htmlblocks.parse(x).blocks)
+    assert text("<html><head><title>t</title><meta name=a><script>'<p>'</script><h1>Head</h1><p>One<p>Two") == "Head\nOne\nTwo"
+    assert text("<head><title>t</title><link rel=x> Just words") == "Just words"
+    assert text("<head><title>t</title><!-- <body> --><noscript><img></noscript></head>One") == "One"
+    assert text("<head><title>t</title><template><p>no</p></template><body>One") == "One"
+    assert text("<head><head><head><p>One") == "One"
+    for name in ("button", "select", "object", "iframe", "video", "canvas", "svg", "noscript", "map"):
+        assert text(f"<p>One</p><{name} a=b><p>Two</p><p>Three</p>") == "One\nTwo\nThree", name
+        assert text(f"<p>One</p><{name}><p>Two</p><{name}>no</{name}><p>Three</p>") == "One\nTwo\nThree", name
+        assert text(f"<p>One</p><{name}>no<{name}>no</{name}>no</{name}><p>Two</p>") == "One\nTwo", name
+    # code goes on to the end, as in a browser
+    assert text("<p>One</p><script>var a = 1; <p>Two</p>") == "One" == text("<p>One</p><style>p {} <p>Two</p>")
+    assert text("<p>One</p><script>'<script>'</script><p>Two</p>") == "One\nTwo"
+    many = "<script>var a;</script><style>p {}</style>" * 40 + "<script>'<body>no'</script>"
+    assert text(f"<head>{many}<title>t</title></head><p>One</p>") == "One"
+    assert text(f"<head>{many}<title>t</title><body><p>One</p>") == "One"
+    assert mincut.main_text("<head><title>t</title><p>" + "Some words, and more. " * 20) == ("Some words, and more. " * 20).strip()
+    assert warc.plain_text("<p>One</p><button><p>Two</p>") == "One\nTwo"
+
+
 def test_derivatives_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     responses = warc.responses_of(pages)
