@@ -7,7 +7,8 @@ follow-the-regularised-leader (per-coordinate rates, elastic net, so most weight
 a temperature by which scores are divided, so that they read as probabilities.
 
 Sampling, order and hashing depend on ids and texts only, so reruns agree. Only the document frequencies, the weights
-(BUCKETS times the number of languages) and the number of documents of each language go to the driver.
+that are not 0 and the number of documents of each language go to the driver. Every lang value is learned; a model takes
+BUCKETS times 8 bytes a language on the driver and each executor, and training several times that in one task.
 
 Defined results: a null text or one without a letter is `und` with score 0; without training rows every text is `und`;
 ties go to the language that sorts first; rows with a null id are predicted, but not learned from; repeated rows are
@@ -28,7 +29,6 @@ from contextloom.llm.shared import free_name, table
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 800
-MAX_LANGUAGES = 256
 RESULTS = ["lang_pred", "score"]
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 0.02, 0.02, 3
 
@@ -123,15 +123,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, idf: np.nd
 
 def _training(names: list[str], idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, place = [], {x: i for i, x in enumerate(names)}
         for batch in batches:
             for x in batch.to_pylist():
-                rows.append((x["place"], np.array(x["found"], dtype=np.int64), np.array(x["often"], dtype=np.float64), names.index(x["lang"])))
+                rows.append((x["place"], np.array(x["found"], dtype=np.int64), np.array(x["often"], dtype=np.float64), place[x["lang"]]))
         rows.sort(key=lambda r: (r[0], r[3], len(r[1])))
         w, temperature = fit([r[1:] for r in rows], len(names), idf)
         used = np.flatnonzero(np.abs(w).sum(axis=1))
-        out = [w[i].tolist() for i in used] + [[temperature]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(out, type=pa.list_(pa.float64()))], names=["bucket", "weights"])
+        at = [np.flatnonzero(w[i]) for i in used]
+        out = [w[i, a].tolist() for i, a in zip(used, at, strict=True)] + [[temperature]]
+        classes = pa.array([a.tolist() for a in at] + [[]], type=pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), classes, pa.array(out, type=pa.list_(pa.float64()))], names=["bucket", "classes", "weights"])
 
     return run
 
@@ -162,7 +164,7 @@ class Model:
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from all labelled rows (document frequencies) and a sample of them (weights)."""
     df = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
-    sizes = df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = df.groupBy("lang").count().collect()
     sizes = {r["lang"]: r["count"] for r in sorted(sizes, key=lambda r: r["lang"])}
     names = list(sizes)
     if not names:
@@ -175,15 +177,15 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     idf = np.log((1 + total) / (1 + df_of)) + 1
     place = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40))
     limit = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int((1 << 40) * min(1.0, per_language / n)))))
-    picked = df.withColumn("place", place).where(F.col("lang").isin(names)).where(F.col("place") < limit[F.col("lang")])
+    picked = df.withColumn("place", place).where(F.col("place") < limit[F.col("lang")])
     sparse = picked.select("place", "lang", "text").mapInArrow(_sparse, "place long, lang string, found array<int>, often array<int>")
-    rows = sparse.repartition(1).mapInArrow(_training(names, idf), "bucket long, weights array<double>").collect()
+    rows = sparse.repartition(1).mapInArrow(_training(names, idf), "bucket long, classes array<int>, weights array<double>").collect()
     w, temperature = np.zeros((BUCKETS + 1, len(names))), 1.0
     for r in rows:
         if r["bucket"] < 0:
             temperature = r["weights"][0]
         else:
-            w[r["bucket"]] = r["weights"]
+            w[r["bucket"], r["classes"]] = r["weights"]
     return Model(names, idf, w, temperature)
 
 

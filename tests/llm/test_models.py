@@ -26,6 +26,15 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_more_than_256_languages(spark):
+    rows = [(5 * k + i, " ".join([chr(0x4E00 + k) * (1 + i % 3)] * 6), f"l{k:03}") for k in range(262) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.names == [f"l{k:03}" for k in range(262)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert [i for i, _, lang in rows if got[i] != lang] == []
+
+
 def test_forward_backward_against_all_labellings():
     r = np.random.default_rng(0)
     trans = r.normal(size=(2, 2))
