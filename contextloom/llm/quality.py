@@ -2,7 +2,9 @@
 
 A document's histogram of byte classes and its histogram of common words are compared with those of each
 reference language by the Jensen-Shannon distance (base 2, so 0 to 1). A document that is close to no language in
-both is rejected; too short a text gets no verdict from a histogram. Plain base rules come before.
+both is rejected; too short a text gets no verdict from a histogram, nor does one that is labelled with a language without
+a reference, as no reference tells what its histograms should be. Plain base rules come before. References are fitted for
+the languages of common_words; a document without a label is held against all of them.
 
 Defined results: a null text counts as empty; an empty text has zero counts and fails the base rules; repeated rows
 are judged one by one; other columns pass through, but a column with the name of a result is replaced by it; an empty
@@ -142,7 +144,7 @@ def sorted_windows(ws: Column, n: Column, bits: Column) -> Column:
 
 
 def judge(measured: DataFrame, references: dict, rules: QualityRules) -> DataFrame:
-    """measured with base_failed, near_lang, js_chars, js_words and kept; a narrow transformation of small columns."""
+    """measured (with q_lang, the label) with base_failed, near_lang, js_chars, js_words and kept; a narrow transformation of small columns."""
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     df = measured.withColumn("base_failed", failed)
     n_chars = F.aggregate("q_chars", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -158,7 +160,8 @@ def judge(measured: DataFrame, references: dict, rules: QualityRules) -> DataFra
     df = df.withColumns({"near_lang": F.col("q_best.lang"), "js_chars": F.col("q_best.js.chars"), "js_words": F.col("q_best.js.words")})
     fits = lambda js, limit, n, guard: (n < guard) | js.isNull() | (js <= limit)
     verdict = fits(F.col("js_chars"), rules.max_js_chars, F.col("q_size"), rules.guard_chars) & fits(F.col("js_words"), rules.max_js_words, F.col("n_words"), rules.guard_words)
-    return df.withColumn("kept", ~F.col("base_failed") & verdict)
+    foreign = F.col("q_lang").isNotNull() & ~F.col("q_lang").isin(list(references))
+    return df.withColumn("kept", ~F.col("base_failed") & (foreign | verdict))
 
 
 def quality_rules(

@@ -70,6 +70,20 @@ def test_quality_divergence(spark):
     assert all(got[i] for i in range(20)) and not got[20]
 
 
+def test_quality_of_other_languages(spark):
+    r = random.Random(5)
+    prose = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(n))
+    english = [" ".join(r.choice(["the", "of", "and", "to", "in", "that", "word", "house", "tree"]) + r.choice("abcdefgh") * r.randrange(2) for _ in range(300)) for _ in range(9)]
+    chinese, polish = prose([chr(0x4E00 + k) for k in range(900)], 300), prose("aąbcćdeęłmnńoóprsśtuwyzźż", 300)
+    rows = [(i, t, "en") for i, t in enumerate(english)]
+    rows += [(20, chinese, "zh"), (21, polish, "pl"), (22, "dobry " * 300, "pl"), (23, prose("abc", 20), "pl"), (30, chinese, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.quality_rules(df).collect()}
+    assert [i for i in [*range(9), 20, 21] if not got[i].kept] == []
+    # base rules hold for all, and what is not labelled is held against the references
+    assert not any(got[i].kept for i in (22, 23, 30)) and got[22].base_failed and got[23].base_failed and not got[30].base_failed
+
+
 def test_substrings_against_brute_force(spark, docs):
     got = {r.doc_id: r for r in substrings.deduplicate_substrings(docs).collect()}
     first: dict = {}
