@@ -1,7 +1,7 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against reference blocks of earlier documents.
+"""Substring deduplication by matches of content-defined blocks, in place of a greedy relative Lempel-Ziv parse.
 
-A document is factored greedily against the texts of all documents with a smaller id. A factor of at least WINDOW words
-is a stretch in which every run of WINDOW words also begins in an earlier document; its words are duplicates.
+No factor with a source and a length is made. What is called a factor here is a stretch of at least WINDOW words in which
+every run of WINDOW words also begins in a document with a smaller id; its words are duplicates.
 
 The reference is cut into blocks by content: a run of WINDOW words is assigned to the least hash among its GRAM-word
 grams (its anchor), and consecutive runs with one anchor form a block. Equal runs of words have equal anchors, in
