@@ -1,15 +1,15 @@
-"""Connected components of a link table by minimum labels and pointer jumping."""
+"""Connected components of link tables by minimum labels and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.shared import materialize
+from contextloom.llm.shared import drop, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, comp) for every document in links (a, b): the smallest document that links lead to.
+    """(doc, comp) for every document in links (a, b), as a table: the smallest document that links lead to.
 
     A round takes the least label among a document's neighbours and then that label's own label, so labels move along
     paths of doubling length; it ends when no label changes. Only sums go to the driver.
@@ -22,8 +22,45 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "doc"), "doc").select("doc", "comp", F.least("comp", "near").alias("to"))
         # a root that saw a smaller label hands it to its members
         hook = step.groupBy(F.col("comp").alias("root")).agg(F.min("to").alias("lower"))
-        step = step.join(hook, F.col("comp") == F.col("root")).select("doc", "comp", F.least("to", "lower").alias("to"))
+        step = step.join(hook, F.col("comp") == F.col("root")).select("doc", F.least("to", "lower").alias("comp"), (F.least("to", "lower") < F.col("comp")).alias("moved"))
         new = materialize(step, "labels")
-        if not new.where("to < comp").limit(1).count():
-            return new.select("doc", F.col("to").alias("comp"))
-        labels = new.select("doc", F.col("to").alias("comp"))
+        drop(labels)
+        if not new.where("moved").limit(1).count():
+            drop(both)
+            return new
+        labels = new
+
+
+class Labels:
+    """Components of all links added so far; only links between different components are followed."""
+
+    def __init__(self) -> None:
+        self.table: DataFrame | None = None
+
+    def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the component of the documents in column: the documents themselves, where nothing links them."""
+        if self.table is None:
+            return df.withColumn(name, F.col(column))
+        known = self.table.select(F.col("doc").alias(column), F.col("comp").alias(name))
+        return df.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+    def add(self, links: DataFrame) -> None:
+        """Take links (a, b) in."""
+        new = materialize(self.of(self.of(links.select("a", "b"), "a", "x"), "b", "y").where("x <> y").distinct(), "new")
+        if new.limit(1).count():
+            joined = components(new.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            every = new.select(F.col("a").alias("doc"), F.col("x").alias("old")).unionByName(new.select(F.col("b").alias("doc"), F.col("y").alias("old")))
+            if self.table is not None:
+                every = every.unionByName(self.table.select("doc", F.col("comp").alias("old")))
+            every = every.distinct().join(joined.select(F.col("doc").alias("old"), "comp"), "old", "left")
+            labels = materialize(every.select("doc", F.coalesce("comp", "old").alias("comp")), "components")
+            drop(joined)
+            if self.table is not None:
+                drop(self.table)
+            self.table = labels
+        drop(new)
+
+    def take(self, links: DataFrame) -> None:
+        """Take in links that materialize has made, and delete their table."""
+        self.add(links)
+        drop(links)

@@ -1,7 +1,8 @@
 """Word and shingle hashes over whole Arrow batches, without a Python loop over words.
 
 A polynomial hash modulo 2**64 with an odd base has an inverse base, so the hash of any stretch is a difference of
-prefix sums times a power of the inverse. Two bases give 128 bits. Words are mixed before they enter a longer hash.
+prefix sums times a power of the inverse. Two bases give 128 bits. Words are mixed before they enter a longer hash. As such
+sums can be equal for long patterned byte strings whatever the base, words of over LONG_WORD bytes are hashed by themselves.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 48
 #: Bytes of text that are hashed at a time; a longer text goes alone.
 SLICE_BYTES = 2 << 20
 
@@ -80,7 +84,10 @@ class Words:
         self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        return stretches(self.data, self.starts, self.ends, base)
+        out = stretches(self.data, self.starts, self.ends, base)
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), base)
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """First words of the windows of size words that lie in one text."""

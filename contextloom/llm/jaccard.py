@@ -5,24 +5,24 @@ hash of a shingle, and sets are ordered by it.
 
 Prefixes. A document with n tokens can link only with documents that lack at most t = n - ceil(percent * n / 100) of them,
 so of its first t + 1 tokens in any order that all documents share, one is in both. Frequent tokens make long lists, so
-tokens fall in two classes. Rare tokens are indexed singly: the first t + 1 rare tokens. Only a document with fewer rare
-tokens than that in its whole set (a copy within a large group, or little but a very common passage) relies on frequent
-tokens, and these are indexed as pairs: the hash range is cut into groups of about GROUP tokens a document, all pairs
-within a group are keys, and m tokens of a group stand for m - 1 of the t + 1. Documents of nearly one size use one
-grouping. A list of pairs is read only for links with such a document.
+tokens fall in two classes. Rare tokens come first in the order and are indexed singly: the first t + 1 rare tokens. Only a
+document with fewer rare tokens than that in its whole set (a copy within a large group, or little but a very common passage)
+is short, and only two short documents can link without a rare token in common. For these, frequent tokens are indexed as
+pairs: the hash range is cut into groups of about GROUP tokens a document, all pairs within a group are keys, and m tokens of
+a group stand for m - 1 of the t + 1. Documents of nearly one size use one grouping.
 
 Classes. The sketch of a document is its prefix in hash order that suffices even if all its tokens are frequent. A token
 is frequent if more than `frequent` sketches have it; documents left short of rare tokens in their sketches add the rest of
 their sets to the count until none is short for want of counting.
 
-Links. The documents of one list are compared with its first document, not pair by pair. In the short lists of rare tokens
-only what is in different components after that is compared directly; long lists of pairs go through link_long_lists. Every
-candidate is first bounded by the sketches (an upper bound of the intersection, so nothing is lost), then counted exactly
-over the whole sets. Documents with equal sets are one class from the start; its smallest id stands for it.
+Links. Documents with equal sets are one node from the start. The documents of a list of a rare token, which is not long, are
+compared with its first one, and pair by pair only where they are in different components after that. Lists of pairs may be
+of any length; link_lists divides them. Every candidate of rare tokens is first bounded by the sketches (an upper bound of
+the intersection, so nothing is lost), and every candidate is counted exactly over the whole sets.
 
 Defined results: null or blank texts have an empty set and link with nothing; fewer words than a shingle needs make one
-shingle; rows with one id share a component; rows without an id are left out (keep_first keeps them); an empty table gives an
-empty result.
+shingle; rows with one id share a component, whatever their texts, and each has the size of its own set; rows without an id
+are left out (keep_first keeps them); a very long text is one set of any size, as others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contextloom.llm.components import components
+from contextloom.llm.components import Labels
 from contextloom.llm.hashing import BASES, Words, mix, slices, stretches
 from contextloom.llm.shared import drop, free_name, materialize, table
 
@@ -42,10 +42,10 @@ SHINGLE = 4
 PERCENT = 85
 FREQUENT = 32
 GROUP = 5
-#: Rounds of heads over long lists before what is left is compared pair by pair.
-ROUNDS = 16
 #: Percent of similarity to a head from which documents are compared by the tokens in which they differ from it.
 HELD = 30
+#: Lists of up to so many documents are compared pair by pair, longer ones are divided.
+PAIRED = 32
 #: Frequent tokens are sent to all executors up to so many (8 bytes each), and joined beyond.
 SENT_TOKENS = 2_000_000
 
@@ -107,9 +107,9 @@ def _sketches(size: int, percent: int):
             n, c1, c2, sketch = [], [], [], []
             for _, tokens in shingle_sets(batch.column("text"), size):
                 n.append(len(tokens))
-                u = tokens.view(np.uint64)
-                c1.append(int(mix(u ^ np.uint64(BASES[0])).sum(dtype=np.uint64).view(np.int64)))
-                c2.append(int(mix(u ^ np.uint64(BASES[1])).sum(dtype=np.uint64).view(np.int64)))
+                sums = set_sums(tokens)
+                c1.append(sums[0])
+                c2.append(sums[1])
                 sketch.append(tokens[: sketch_size(tokens, percent)] if len(tokens) else tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), _lists(sketch)], names=["doc", "n", "c1", "c2", "sketch"]
@@ -118,17 +118,28 @@ def _sketches(size: int, percent: int):
     return run
 
 
+def set_sums(tokens: np.ndarray) -> tuple[int, int]:
+    """Two sums of mixed tokens, which tell sets apart."""
+    u = tokens.view(np.uint64)
+    return tuple(int(mix(u ^ np.uint64(base)).sum(dtype=np.uint64).view(np.int64)) for base in BASES)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists([t for _, t in shingle_sets(batch.column("text"), size)])], names=["doc", "tokens"])
+            n, c1, c2 = (batch.column(c).to_pylist() for c in ("n", "c1", "c2"))
+            found = [(i, t) for i, t in shingle_sets(batch.column("text"), size) if (len(t), *set_sums(t)) == (n[i], c1[i], c2[i])]
+            at = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("n").take(at), _lists([t for _, t in found])], names=["doc", "n", "tokens"])
 
     return run
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc, tokens) of the documents in ids (doc)."""
-    return docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(_sets(size), "doc long, tokens array<long>")
+def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(doc, n, tokens) of nodes (doc, rep, n, c1, c2), each node once."""
+    own = docs.withColumnRenamed("doc", "rep").join(nodes, "rep")
+    own = own.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "doc", "h"])
+    return own.select("doc", "n", "c1", "c2", "text").mapInArrow(_sets(size), "doc long, n int, tokens array<long>")
 
 
 def _frequent_of(lists: pa.Array, known: np.ndarray) -> pa.Array:
@@ -140,9 +151,9 @@ def _frequent_of(lists: pa.Array, known: np.ndarray) -> pa.Array:
     return _lists(rows)
 
 
-def mark(base: DataFrame, frequent: DataFrame) -> DataFrame:
+def mark(base: DataFrame, frequent: DataFrame, sent_tokens: int) -> DataFrame:
     """base (doc, tokens, ..) with `often`, those of its tokens that are in frequent (token)."""
-    if frequent.count() <= SENT_TOKENS:
+    if frequent.count() <= sent_tokens:
         known = frequent.toPandas()["token"].to_numpy(dtype=np.int64)
         sent = base.sparkSession.sparkContext.broadcast(np.sort(known))
 
@@ -160,7 +171,7 @@ def _pairs_of(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, n, full = batch.column("doc").to_pylist(), batch.column("n").to_pylist(), batch.column("short").to_pylist()
+            doc, n = batch.column("doc").to_pylist(), batch.column("n").to_pylist()
             keys, owner = [], []
             for i, x in enumerate(batch.column("often")):
                 tokens = np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -175,10 +186,7 @@ def _pairs_of(percent: int):
                         owner.append(np.full(len(near), i))
             if keys:
                 owner = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.array(doc, dtype=np.int64)[owner]), pa.array(np.array(n, dtype=np.int32)[owner]), pa.array(np.array(full, dtype=bool)[owner])],
-                    names=["key", "doc", "n", "short"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.array(doc, dtype=np.int64)[owner])], names=["key", "doc"])
 
     return run
 
@@ -187,156 +195,203 @@ def _near_in_size(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b).cast("long")) >= percent * F.greatest(a, b).cast("long")
 
 
-def index_keys(docs: DataFrame, reps: DataFrame, size: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(key, doc, n, short) of rare tokens, and of pairs of frequent tokens if any document is short of rare ones."""
+def index_keys(docs: DataFrame, reps: DataFrame, size: int, percent: int, frequent: int, sent_tokens: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Lists (key, doc, n, first) of rare tokens; for short documents, if there are any, lists (key, doc) of pairs of frequent
+    tokens, and whole sets (doc, n, rare, tokens, often) with the number of rare tokens."""
     base = reps.select("doc", "n", F.col("sketch").alias("tokens"))
     need = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1
-    rare = F.array_except("tokens", "often")
     count = lambda df: df.select(F.explode("tokens").alias("token")).groupBy("token").count().where(f"count > {frequent}").select("token")
     common = materialize(count(base), "frequent")
-    marked = materialize(mark(base, common), "marked")
+    marked = materialize(mark(base, common, sent_tokens), "marked")
     is_short = F.size("tokens") - F.size("often") < need
     short = materialize(marked.where(is_short).select("doc"), "short")
     whole = None
     while short.limit(1).count():
-        more = full_sets(docs, short, size)
-        whole = materialize(more if whole is None else whole.unionByName(more), "whole")
+        more = full_sets(docs, reps.join(short, "doc", "left_semi").select("doc", "rep", "n", "c1", "c2"), size)
+        old, whole = (whole, common), materialize(more if whole is None else whole.unionByName(more), "whole")
         common = materialize(common.unionByName(count(whole)).distinct(), "frequent")
-        drop(marked)
-        marked = materialize(mark(base, common), "marked")
+        for done in (marked, short, *old):
+            if done is not None:
+                drop(done)
+        marked = materialize(mark(base, common, sent_tokens), "marked")
         short = materialize(marked.where(is_short).select("doc").join(whole, "doc", "left_anti"), "short")
-    single = marked
+    rare = F.slice(F.array_except("tokens", "often"), 1, need).alias("first")
+    single, sets, pairs = marked.select("doc", "n", rare), None, None
     if whole is not None:
         # those that were short take their rare tokens from their whole sets
-        longer = whole.join(reps.select("doc", "n"), "doc")
-        single = marked.join(whole.select("doc"), "doc", "left_anti").unionByName(mark(longer, common).select("doc", "n", "tokens", "often"))
-    single = single.select("doc", "n", F.slice(rare, 1, need).alias("first"), need.alias("need"))
-    single = single.select("doc", "n", "first", (F.size("first") < F.col("need")).alias("short"))
-    single = materialize(single, "prefixes")
-    keys = single.select(F.explode("first").alias("key"), "doc", "n", "short")
-    poor = single.where("short").select("doc")
-    if not poor.limit(1).count():
-        return keys, None
-    flags = marked.where(F.size("often") > 1).join(poor.withColumn("short", F.lit(True)), "doc", "left").select("doc", "n", "often", F.coalesce("short", F.lit(False)).alias("short"))
-    return keys, flags.mapInArrow(_pairs_of(percent), "key long, doc long, n int, short boolean")
-
-
-def bounded(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) with their sizes na, nb, but for those whose sketches rule a similarity of percent out."""
+        held = materialize(mark(whole, common, sent_tokens), "held")
+        drop(whole)
+        single = marked.join(held.select("doc"), "doc", "left_anti").select("doc", "n", rare).unionByName(held.select("doc", "n", rare))
+        sets = held.where(is_short).select("doc", "n", (F.size("tokens") - F.size("often")).alias("rare"), "tokens", "often")
+        pairs = marked.join(sets.select("doc"), "doc", "left_semi").where(F.size("often") > 1)
+        pairs = materialize(pairs.select("doc", "n", "often").mapInArrow(_pairs_of(percent), "key long, doc long"), "pairs")
+    # only lists with two documents at least are of use; lists of rare tokens are short
+    own = Window.partitionBy("key")
+    single = single.select(F.explode("first").alias("key"), "doc", "n").select("*", F.count("*").over(own).alias("docs"), F.min("doc").over(own).alias("first"))
+    single = materialize(single.where("docs > 1").select("key", "doc", "n", "first"), "single")
+    drop(marked)
+    drop(common)
+    return single, pairs, sets
+
+
+def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, as a table. Sketches rule out what they can before whole sets are read."""
     side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = candidates.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(F.col("na"), F.col("nb"), percent))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_in_size(F.col("na"), F.col("nb"), percent))
     last = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
     upto = lambda s: F.size(F.filter(s, lambda x: x <= last))
     most = F.size(F.array_intersect("sa", "sb")) + F.least(F.col("na") - upto("sa"), F.col("nb") - upto("sb"))
     both = both.where(100 * most.cast("long") >= percent * (F.col("na") + F.col("nb") - most).cast("long"))
-    return materialize(both.select("a", "b", "na", "nb"), "likely")
+    likely = materialize(both.select("a", "b"), "likely")
+    ids = likely.select(F.col("a").alias("doc")).unionByName(likely.select(F.col("b").alias("doc"))).distinct()
+    sets = materialize(full_sets(docs, reps.join(ids, "doc", "left_semi").select("doc", "rep", "n", "c1", "c2"), size), "sets")
+    out = materialize(counted(likely, sets).where(_links(percent)).select("a", "b"), "linked")
+    drop(sets)
+    drop(likely)
+    return out
 
 
-def with_sets(likely: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """likely with whole sets ta, tb and both, either (sizes of intersection and union), and the table of the sets."""
-    ids = likely.select(F.col("a").alias("doc")).unionByName(likely.select(F.col("b").alias("doc"))).distinct()
-    sets = materialize(full_sets(docs, ids, size), "sets")
-    own = lambda c: sets.select(F.col("doc").alias(c), F.col("tokens").alias(f"t{c}"))
-    df = likely.join(own("a"), "a").join(own("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return df.withColumn("either", F.col("na") + F.col("nb") - F.col("both")), sets
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with whole sets ta, tb, sizes na, nb and both, the size of the intersection."""
+    own = lambda c: sets.select(F.col("doc").alias(c), *(F.col(x).alias(x[0] + c) for x in sets.columns if x in ("n", "tokens", "often")))
+    return pairs.join(own("a"), "a").join(own("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
 
 
-def verify(candidates: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the candidates (a, b) that link, as a table."""
-    likely = bounded(candidates, reps, percent)
-    df, sets = with_sets(likely, docs, size)
-    linked = materialize(df.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "linked")
-    drop(sets)
-    drop(likely)
-    return linked
+def _links(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def link_long_lists(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> list[DataFrame]:
-    """Tables of links (a, b) that join what is linked in lists (key, doc, n, short) of any length, without their pairs.
+def split_by_size(now: DataFrame, percent: int) -> DataFrame:
+    """Lists (key, doc, n, rare, comp) as lists for two sizes (s, l) each, of the documents of these sizes that can link so.
 
-    Each list has a head c, its first short document, with which all others are compared. What is linked with c is one
-    component. If y is not linked with c and x links with y, then x has a token of y that c has not, or x is so small that
-    what y shares with c suffices; so those at least HELD percent similar to c meet by the tokens in which they differ from
-    c, and by size. By the triangle inequality of the Jaccard distance a document at distance d from c links only with such
-    whose distance is d give or take step = 1 - percent / 100. So of the others, those in the rim (less than a step below
-    HELD) can link with the inner ones (less than a step above), and the far ones with neither: rim and far ones go on to
-    the next round, under another head, and inner ones with them where a list has a rim.
-    After ROUNDS rounds the rest, if there is any, is compared pair by pair.
+    What two short documents share beyond rare tokens is at most the frequent tokens of either, so the sizes of what a document
+    can link with are bounded from both sides; a copy with many edits of its own can link with smaller ones only.
+    """
+    sizes = now.groupBy("key").agg(F.collect_set("n").alias("sizes"))
+    each = now.join(sizes, "key").withColumn("size", F.explode(F.filter("sizes", lambda x: _in_reach(x, F.col("n"), F.col("rare"), percent)))).drop("sizes")
+    each = each.withColumn("s", F.least("n", "size")).withColumn("l", F.greatest("n", "size")).drop("size")
+    return each.withColumn("key", F.xxhash64("key", "s", "l"))
+
+
+def _in_reach(other: Column, n: Column, rare: Column, percent: int) -> Column:
+    """Whether n - rare shared tokens suffice for a link of documents with n and other tokens."""
+    return _near_in_size(n, other, percent) & ((n - rare) * (100 + percent) >= percent * (n + other))
+
+
+def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int) -> None:
+    """Add to labels what joins all short documents that link and are in one of the lists (key, doc).
+
+    What is in one component already is not compared again, so a list counts only while it has two components. Up to PAIRED
+    documents are compared pair by pair. A longer list has a head h, its document with the fewest rare tokens (of a group of
+    near copies, the original or what is nearest to it), with which all others are compared. Let y not be linked with h, and x
+    be linked with y without a rare token in common. Then x and y share a frequent token that h has not, or all they share is
+    in h; as the latter is less than y and h need, x is smaller than h and lies almost wholly in it, and its size is bounded
+    from both sides by what y shares with h, so such x and y are joined by size. Others at least HELD percent similar to h go
+    on in lists of the frequent tokens that h has not. By the triangle inequality of the Jaccard distance, a document at
+    distance d from h links only with such whose distance is d give or take step = 1 - percent / 100; so those below HELD
+    percent go on without it, with a rim of those above it: once in their old list, and after that in lists of one more token
+    of a prefix of their frequent tokens. From the second level on, lists are for two sizes each. New lists have only
+    documents that come after h in the order of heads, so this ends.
     """
-    made, step = [], 100 - percent
-    for _ in range(ROUNDS):
-        heads = lists.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.when(F.col("short"), F.col("doc"))).alias("head")).where("docs > 1 and head is not null").select("key", "head")
-        lists = materialize(lists.join(heads, "key"), "lists")
-        if not lists.limit(1).count():
-            return made
-        stars = lists.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-        df, sets = with_sets(bounded(stars, reps, HELD - step), docs, size)
-        at = lambda least: 100 * F.col("both") >= least * F.col("either")
+    step, level = 100 - percent, 0
+    small = sets.select("doc", "n", "rare")
+    plain = sets.select("doc", "n", "tokens")
+    lists = materialize(lists.join(small, "doc").select("key", "doc", "n", "rare", F.lit(0).alias("s"), F.lit(0).alias("l")), "lists")
+    while True:
+        level += 1
+        now = labels.of(lists, "doc", "comp")
+        if level == 2:
+            now = split_by_size(now.drop("s", "l"), percent)
+        both = lambda size: F.sum((F.col("n") == F.col(size)).cast("long"))
+        kept = now.groupBy("key").agg(F.count("*").alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rare", "doc"))["doc"].alias("head"), F.when(F.first("s") > 0, both("s") * both("l")).alias("meet"))
+        kept = kept.where("lo < hi and docs > 1 and (meet is null or meet > 0)").withColumn("brief", F.coalesce("meet", F.col("docs") * F.col("docs")) <= PAIRED * PAIRED)
+        mixed = materialize(now.join(kept.select("key", "brief", "head"), "key"), "mixed")
+        drop(lists)
+        if not mixed.limit(1).count():
+            drop(mixed)
+            return
+        brief = mixed.where("brief")
+        other = brief.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "rare", "comp")))
+        pair = brief.join(other, "key").where("doc < doc2 and comp <> comp2 and (s = 0 or (least(n, n2) = s and greatest(n, n2) = l))")
+        pair = pair.where(_in_reach(F.col("n2"), F.col("n"), F.col("rare"), percent) & _in_reach(F.col("n"), F.col("n2"), F.col("rare2"), percent))
+        pair = pair.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+        labels.take(materialize(counted(pair, plain).where(_links(percent)).select("a", "b"), "linked"))
+        long = mixed.where("not brief")
+        stars = long.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+        at = lambda least: 100 * F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))
         kind = F.when(at(percent), "linked").when(at(HELD + step), "near").when(at(HELD), "inner").otherwise("rim")
-        df = df.where(at(HELD - step)).withColumn("kind", kind)
-        own = F.when(F.col("kind") != "rim", F.array_except("tb", "ta"))
-        held = materialize(df.select("a", "b", F.col("nb").alias("n"), "both", "kind", own.alias("own")), "held")
-        drop(sets)
-        made.append(held.where("kind = 'linked'").select("a", "b"))
-        outside = "kind in ('near', 'inner')"
-        tokens = held.select("a", "b", "kind", F.explode("own").alias("token"))
-        met = tokens.join(tokens.where(outside).select("a", "token", F.col("b").alias("y")), ["a", "token"]).where("b <> y").select("b", "y")
+        held = counted(stars, sets).where(at(HELD - step)).withColumn("kind", kind)
+        held = materialize(held.select("a", "b", F.col("na").alias("m"), F.col("nb").alias("n"), "both", "kind", F.when(F.col("kind") != "rim", F.array_except("ob", "ta")).alias("own")), "held")
+        labels.add(held.where("kind = 'linked'").select("a", "b"))
+        near = held.where("kind <> 'rim'")
         least, most = F.ceil(percent * F.col("n") / 100).cast("int"), F.floor(F.col("both") * (100 + percent) / percent).cast("int") - F.col("n")
-        small = held.where(outside).where(most >= least).select("a", F.col("b").alias("y"), F.explode(F.sequence(least, most)).alias("n"))
-        met = met.unionByName(held.where("kind <> 'rim'").select("a", "b", "n").join(small, ["a", "n"]).where("b <> y").select("b", "y"))
-        met = met.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
-        made.append(verify(met, reps, docs, size, percent))
+        most = F.least(most, F.col("m") - 1)
+        reach = labels.of(near.where("kind <> 'linked'").where(most >= least).select("a", F.col("b").alias("y"), F.explode(F.sequence(least, most)).alias("n")), "y", "other")
+        inside = labels.of(near.where((F.col("n") < F.col("m")) & (100 * F.col("both") >= percent * F.col("n"))).select("a", F.col("b").alias("x"), "n"), "x", "comp")
+        pair = inside.join(reach, ["a", "n"]).where("x <> y and comp <> other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        labels.take(materialize(counted(pair, plain).where(_links(percent)).select("a", "b"), "linked"))
+        sizes = long.where("doc <> head").select("head", "doc", "n", "rare", "s", "l").distinct()
+        sub = near.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.explode("own").alias("token")).join(sizes, ["head", "doc"])
+        sub = sub.withColumn("key", F.xxhash64(F.lit(level), "head", "s", "l", "token"))
         kinds = held.select(F.col("a").alias("head"), F.col("b").alias("doc"), "kind")
-        left = lists.where("doc <> head").join(kinds, ["head", "doc"], "left").where("kind is null or kind not in ('linked', 'near')")
-        left = left.withColumn("kind", F.coalesce("kind", F.lit("far"))).select("key", "doc", "n", "short", "kind")
-        rims = left.groupBy("key").agg(F.max(F.col("kind") == "rim").alias("rim"))
-        left = left.join(rims, "key").where("kind <> 'inner' or rim")
-        open_keys = left.groupBy("key").agg(F.max("short").alias("any"), F.count("*").alias("docs")).where("any and docs > 1").select("key")
-        lists = left.join(open_keys, "key").select("key", "doc", "n", "short")
-    other = lists.where("short").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"))
-    rest = lists.join(other, "key").where((F.col("doc") != F.col("doc2")) & _near_in_size(F.col("n"), F.col("n2"), percent))
-    made.append(verify(rest.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct(), reps, docs, size, percent))
-    return made
-
-
-def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+        left = long.where("doc <> head").join(kinds, ["head", "doc"], "left").where("kind is null or kind not in ('linked', 'near')")
+        rims = left.groupBy("key").agg(F.max(F.coalesce(F.col("kind") == "rim", F.lit(False))).alias("rim"))
+        left = left.join(rims, "key").where("kind is null or kind <> 'inner' or rim")
+        if level > 1:
+            need = F.size("often") - F.ceil(percent * F.col("n") / 100).cast("int") + 1
+            ordered = F.transform("often", lambda x: F.struct(F.xxhash64(x, F.lit(level)).alias("place"), x.alias("token")))
+            first = left.select("doc").distinct().join(sets, "doc").select("doc", F.explode(F.slice(F.sort_array(ordered), 1, need)).alias("one"))
+            left = left.join(first, "doc").withColumn("key", F.xxhash64("key", "one.token"))
+        columns = ["key", "doc", "n", "rare", "s", "l"]
+        lists = materialize(sub.select(*columns).unionByName(left.select(*columns)).distinct(), "lists")
+        drop(mixed)
+        drop(held)
+
+
+def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, sent_tokens: int = SENT_TOKENS) -> DataFrame:
     """(doc, n_shingles, component) for every row of docs with an id."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     made = materialize(slim.mapInArrow(_sketches(size, percent), "doc long, n int, c1 long, c2 long, sketch array<long>"), "sketches")
-    own = materialize(made.select("doc", "n", "c1", "c2"), "classes")
-    classes = own.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows"))
-    copies = own.join(classes.where("rows > 1"), ["n", "c1", "c2"]).where("doc > rep").select("doc").distinct()
-    reps = made.where("n > 0").join(copies, "doc", "left_anti").select("doc", "n", "sketch").dropDuplicates(["doc"])
-    reps = materialize(reps, "reps")
+    same = ["n", "c1", "c2"]
+    # a node for each set: its least id, or a hash where an id has several sets
+    nodes = made.where("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
+    nodes = nodes.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(*same)))
+    nodes = materialize(nodes.select(*same, "rep", F.when(F.col("k") == 1, F.col("rep")).otherwise(F.xxhash64(*same)).alias("node")), "nodes")
+    reps = made.withColumnRenamed("doc", "rep").join(nodes, ["rep", *same]).dropDuplicates(["rep", *same])
+    reps = materialize(reps.select(F.col("node").alias("doc"), "rep", *same, "sketch"), "reps")
+    own = materialize(made.select("doc", *same), "own")
     drop(made)
-    single, pairs = index_keys(slim, reps, size, percent, frequent)
-    # only lists with two documents at least are of use
-    lists = single.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where("docs > 1").drop("docs")
-    single = materialize(single.join(lists, "key"), "single")
+    single, pairs, sets = index_keys(slim, reps, size, percent, frequent, sent_tokens)
+    labels = Labels()
+    several = own.where("n > 0").groupBy("doc").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo < hi").select("doc")
+    several = own.where("n > 0").join(several, "doc", "left_semi").distinct().join(nodes.select(*same, "node"), same).select("doc", "node")
+    labels.add(several.join(several.groupBy("doc").agg(F.min("node").alias("a")), "doc").select("a", F.col("node").alias("b")))
     stars = single.where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    links = verify(stars, reps, slim, size, percent)
+    labels.take(linked(stars, slim, reps, size, percent))
     if pairs is not None:
-        for more in link_long_lists(materialize(pairs, "pairs"), reps, slim, size, percent):
-            links = links.unionByName(more)
-    links = materialize(links.distinct(), "links")
+        link_lists(pairs, sets, labels, percent)
     # in a short list what is still in different components is compared directly
-    found = components(links)
-    left = materialize(single.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "left")
+    left = labels.of(single.select("key", "doc", "n"), "doc", "comp")
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = left.join(mixed, "key").select("key", "doc", "n", "comp")
+    left = left.join(mixed, "key")
     other = left.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     rest = left.join(other, "key").where((F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & _near_in_size(F.col("n"), F.col("n2"), percent))
     rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verify(rest, reps, slim, size, percent)))
-    classes = classes.select("n", "c1", "c2", "rep").join(found.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    out = own.join(classes.select("n", "c1", "c2", "comp"), ["n", "c1", "c2"], "left")
-    return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("component"))
+    labels.take(linked(rest, slim, reps, size, percent))
+    drop(single)
+    drop(reps)
+    # a component is named by its least id, which need not be that of its least node
+    whole = labels.of(nodes, "node", "comp")
+    least = whole.groupBy("comp").agg(F.min("rep").alias("component"))
+    named = materialize(whole.join(least, "comp").select(*same, "component"), "named")
+    drop(nodes)
+    return own.join(named, same, "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the rows whose component has a smaller id."""
+    """docs without the rows whose component has a smaller id; rows with one id stay or go together."""
     key = free_name(docs.columns, "_doc")
     found = link_documents(docs, doc_id, text, **how).where("doc <> component").select(F.col("doc").alias(key)).distinct()
     return docs.join(found, docs[doc_id].cast("long") == F.col(key), "left_anti")

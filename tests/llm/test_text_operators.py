@@ -135,6 +135,37 @@ def test_jaccard_against_brute_force(spark, docs):
     assert got == brute_components(corpus())
 
 
+def family(n=160):
+    """A large group of near copies of several kinds: edits of their own, edits that many share, cut ends, copies of copies."""
+    base, out = words(120, 11), []
+    for k in range(n):
+        r, ws = random.Random(500 + k), list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+            ws[r.randrange(120)] = f"own{k}x{r.randrange(99)}" if r.random() < 0.6 else f"shared{r.randrange(5)}"
+        ws = ws[: r.choice([120, 120, 118, 110, 100])]
+        if k % 3 == 2 and out:
+            ws = list(r.choice(out))
+            ws[r.randrange(len(ws))] = f"later{k}"
+        out.append(ws)
+    return [" ".join(ws) for ws in out]
+
+
+def test_jaccard_divides_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(family())]
+    df = materialize(spark.createDataFrame(rows, DOCS), "test")
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard.link_documents(df, frequent=6, sent_tokens=0).collect()}
+    assert got == brute_components(rows)
+    assert 2 < len({c for _, c in got.values()}) < 100
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(words(60, k)) for k in (21, 22, 23))
+    rows = [(5, a + " x"), (5, b + " y"), (5, b + " y"), (1, a), (2, b), (9, c), (9, c), (7, c + " z"), (8, "")]
+    got = {(r.doc, r.component) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 1), (1, 1), (2, 1), (9, 7), (7, 7), (8, 8)}
+
+
 def test_jaccard_keeps_the_first(spark):
     a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
     df = spark.createDataFrame([(3, a), (1, a.upper()), (2, b), (4, None), (5, ""), (None, a)], "doc_id long, text string")
