@@ -10,8 +10,9 @@ documents, is its score, and the tokens with a marginal of one half or more are
 
 Defined results: null, empty and wordless texts get the score of a document without a toxic token; without labelled rows of
 both kinds every score is 0; rows with a null id or label are scored, but not learned from; repeated rows are scored
-alike; other columns pass through, but a column with the name of a result is replaced. Only the sample's model goes to the
-driver; its size is fixed.
+alike; an id that labels call both is toxic; very long texts are read whole, one at a time; empty tables give an empty result;
+other columns pass through, but a column with the name of a result is replaced. Only the sample's model goes to the driver;
+its size is fixed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.llm.langid import fold
-from contextloom.llm.shared import free_name, table
+from contextloom.llm.shared import drop, free_name, materialize, table
 
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -38,6 +39,8 @@ EPOCHS, RATE, DECAY, TOGETHER = 4, 0.15, 1e-5, 64
 FLOOR = 0.1
 #: Steps of training at least; a small sample is gone through more often.
 STEPS = 200
+#: Characters of texts scored at a time; a longer text goes alone.
+STEP_CHARS = 2_000_000
 #: Distinct words whose features a worker remembers.
 REMEMBERED = 400_000
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + " «»“”„‘’…–—¡¿"
@@ -57,8 +60,8 @@ def feature_row(word: str) -> list[int]:
     return row + [0] * (PER_TOKEN - len(row))
 
 
-def runs(u: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the label toxic for each token, and of each pair of labels (n, 2, 2) with the token after it.
+def runs(u: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of the label toxic for each token and, if pairs are wanted, of each pair of labels (n, 2, 2) with the token after it.
 
     u: score of toxic over other, texts one after the other. All texts advance one token a step, the longest first, so a
     step is a few operations on as many numbers as texts are left. Messages are normalised at every step.
@@ -90,6 +93,8 @@ def runs(u: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndar
         ratio = later
     both = fwd * bwd
     p = both / (1 + both)
+    if not pairs:
+        return p, None
     pair = np.zeros((len(u), 2, 2))
     if len(u) > 1:
         a = np.stack([np.ones(len(u) - 1), fwd[:-1]], axis=1)
@@ -144,7 +149,7 @@ class Field:
         u = np.array([unary(w) for ws in texts for w in ws])
         if not len(u):
             return [np.zeros(0) for _ in texts]
-        p, _ = runs(u, lengths, self.trans)
+        p, _ = runs(u, lengths, self.trans, pairs=False)
         return np.split(p, np.cumsum(lengths)[:-1])
 
     def score(self, p: np.ndarray) -> float:
@@ -212,7 +217,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Field | None:
     """A field from the labelled rows of docs; None without rows of both kinds."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(toxic).alias("toxic")).where("id is not null and toxic in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(doc_id).alias("id"), F.col(toxic).alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
     if not n_bad or not n_good:
@@ -222,9 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     size = 1 << 40
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(size))
     limit = F.when(F.col("toxic") == 1, int(size * want_bad / n_bad)).otherwise(int(size * want_good / n_good))
-    picked = known.withColumn("place", place).where(F.col("place") < limit)
+    picked = materialize(known.withColumn("place", place).where(F.col("place") < limit), "picked")
+    # a sample of ids is small, however many labels there are; so no text is shuffled to find its texts
+    few = F.broadcast(picked) if picked.count() <= 4 * sample else picked
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
-    rows = texts.join(picked, "id").select("place", "text", "toxic").repartition(1).mapInArrow(_training, "at long, value double").collect()
+    rows = texts.join(few, "id").select("place", "text", "toxic").repartition(1).mapInArrow(_training, "at long, value double").collect()
+    drop(picked)
     if not rows:
         return None
     fixed = {r["at"]: r["value"] for r in rows if r["at"] < 0}
@@ -234,16 +242,33 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
-    """Offsets (code points) of runs of tokens with a marginal of one half or more."""
-    out, at = [], 0
+    """Offsets (code points) of runs of tokens with a marginal of one half or more, and the largest marginal of each."""
+    out, at, before = [], 0, False
     for word, q in zip(text.split(), p.tolist(), strict=True):
         at = text.index(word, at)
-        if q >= 0.5:
+        if q >= 0.5 and before:
+            out[-1] = {"begin": out[-1]["begin"], "end": at + len(word), "marginal": max(q, out[-1]["marginal"])}
+        elif q >= 0.5:
             out.append({"begin": at, "end": at + len(word), "marginal": q})
+        before = q >= 0.5
         at += len(word)
     return out
 
 
+def _steps(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of column, up to 500 or about STEP_CHARS at a time."""
+    part, size = [], 0
+    for x in column:
+        text = x.as_py() or ""
+        if part and (len(part) == 500 or size + len(text) > STEP_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 _KIND = "struct<score: double, spans: array<struct<begin: int, end: int, marginal: double>>>"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -254,8 +279,7 @@ def tag(docs: DataFrame, field: Field | None, text: str = "text", limit: float =
 
     def tagged(column: pa.Array) -> pa.Array:
         model, scores, spans = sent.value, [], []
-        for k in range(0, len(column), 500):
-            texts = [x.as_py() or "" for x in column[k : k + 500]]
+        for texts in _steps(column):
             marginals = model.marginals([t.split() for t in texts]) if model else [np.zeros(0)] * len(texts)
             scores += [model.score(p) if model else 0.0 for p in marginals]
             spans += [_spans(t, p) if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, marginals, strict=True)]
