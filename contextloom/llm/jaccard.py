@@ -334,7 +334,8 @@ def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int)
         sub = near.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.explode("own").alias("token")).join(sizes, ["head", "doc"])
         sub = sub.withColumn("key", F.xxhash64(F.lit(level), "head", "s", "l", "token"))
         kinds = held.select(F.col("a").alias("head"), F.col("b").alias("doc"), "kind")
-        left = long.where("doc <> head").join(kinds, ["head", "doc"], "left").where("kind is null or kind not in ('linked', 'near')")
+        left = long.where("doc <> head").join(kinds.where("kind in ('linked', 'near')"), ["head", "doc"], "left_anti")
+        left = left.join(kinds.where("kind not in ('linked', 'near')"), ["head", "doc"], "left")
         rims = left.groupBy("key").agg(F.max(F.coalesce(F.col("kind") == "rim", F.lit(False))).alias("rim"))
         left = left.join(rims, "key").where("kind is null or kind <> 'inner' or rim")
         if level > 1:
