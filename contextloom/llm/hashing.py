@@ -18,7 +18,7 @@ BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 48
 #: Bytes of text that are hashed at a time; a longer text goes alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

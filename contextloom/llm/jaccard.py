@@ -222,15 +222,15 @@ def index_keys(docs: DataFrame, reps: DataFrame, size: int, percent: int, freque
         held = materialize(mark(whole, common, sent_tokens), "held")
         drop(whole)
         single = marked.join(held.select("doc"), "doc", "left_anti").select("doc", "n", rare).unionByName(held.select("doc", "n", rare))
-        sets = held.where(is_short).select("doc", "n", (F.size("tokens") - F.size("often")).alias("rare"), "tokens", "often")
+        sets = materialize(held.where(is_short).select("doc", "n", (F.size("tokens") - F.size("often")).alias("rare"), "tokens", "often"), "short")
         pairs = marked.join(sets.select("doc"), "doc", "left_semi").where(F.size("often") > 1)
         pairs = materialize(pairs.select("doc", "n", "often").mapInArrow(_pairs_of(percent), "key long, doc long"), "pairs")
     # only lists with two documents at least are of use; lists of rare tokens are short
     own = Window.partitionBy("key")
     single = single.select(F.explode("first").alias("key"), "doc", "n").select("*", F.count("*").over(own).alias("docs"), F.min("doc").over(own).alias("first"))
     single = materialize(single.where("docs > 1").select("key", "doc", "n", "first"), "single")
-    drop(marked)
-    drop(common)
+    for done in (marked, common, short, *([held] if whole is not None else [])):
+        drop(done)
     return single, pairs, sets
 
 
@@ -373,6 +373,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels.take(linked(stars, slim, reps, size, percent))
     if pairs is not None:
         link_lists(pairs, sets, labels, percent)
+        drop(pairs)
+        drop(sets)
     # in a short list what is still in different components is compared directly
     left = labels.of(single.select("key", "doc", "n"), "doc", "comp")
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
