@@ -19,13 +19,19 @@ from contextloom.llm.decontam import find_items
 from contextloom.llm.jaccard import keep_first
 from contextloom.llm.mixing import mix_sources
 from contextloom.llm.quality import quality_rules
-from contextloom.llm.shared import materialize, table
+from contextloom.llm.shared import free_name, materialize, table
 from contextloom.llm.sql import OP1, OP3, OP4, OP6, OP7
 from contextloom.llm.substrings import deduplicate_substrings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    # verdicts are found from small columns and go back by id, label and a hash of the text, so no copy of the texts is kept
+    key = free_name(docs.columns, "_text")
+    own = ["doc_id", "lang", key]
+    hashed = docs.withColumn(key, F.xxhash64("text"))
+    bad = quality_rules(hashed, carry=own).where("not kept").select(*(F.col(c).alias(f"bad_{i}") for i, c in enumerate(own))).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"bad_{i}")) for i, c in enumerate(own)]
+    return hashed.join(bad, same[0] & same[1] & same[2], "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
