@@ -99,6 +99,17 @@ def test_substrings_against_brute_force(spark, docs):
     assert substrings.deduplicate_substrings(docs.limit(0)).count() == 0
 
 
+def test_factors_name_their_sources(spark, docs):
+    text = {r[0]: WORD.findall(r[1] or "") for r in corpus()}
+    for r in substrings.deduplicate_substrings(docs).collect():
+        ws, at = text[r.doc_id], 0
+        for f in r.factors:
+            assert f.start >= at and f.source < r.doc_id
+            assert ws[f.start : f.start + f.words] == text[f.source][f.source_start : f.source_start + f.words]
+            at = f.start + f.words
+        assert sum(f.words for f in r.factors) == r.n_removed
+
+
 def test_substrings_with_ties_and_null_ids(spark):
     text = " ".join(words(80, 5))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
