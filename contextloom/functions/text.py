@@ -83,6 +83,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
 
 
+def split_lines(text: str | None) -> list[str]:
+    """The same lines in Python: only a newline, with or without a return before it, ends a line."""
+    return re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text)) if text else []
+
+
 def cut_bytes(text: Column, most: Column | int) -> Column:
     """The longest prefix of at most so many bytes that ends with a whole character."""
     most = F.lit(most) if isinstance(most, int) else most

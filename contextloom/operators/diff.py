@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contextloom.functions.text import WORD_CHARS, content_hash, fingerprint, normalize
+from contextloom.functions.text import WORD_CHARS, content_hash, fingerprint, normalize, split_lines
 from contextloom.operators.scoring import change_score
 
 
@@ -49,7 +49,7 @@ def line_changes(pairs: DataFrame) -> DataFrame:
     import hashlib
 
     def one(path: str, old: str | None, new: str | None) -> tuple:
-        a, b = (old or "").splitlines(), (new or "").splitlines()
+        a, b = split_lines(old), split_lines(new)
         added = removed = 0
         hunks = []
         for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(3):

@@ -9,11 +9,12 @@ from contextloom.functions.text import lines, symbol_tokens
 from contextloom.lexicon import FOCUS_HEAD, FOCUS_PADDING
 
 
-def relevant_ranges(files: DataFrame, symbols: DataFrame, tasks: DataFrame) -> DataFrame:
+def relevant_ranges(files: DataFrame, symbols: DataFrame, tasks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(task_id, path, start, end), merged: the head of each file and the symbols that share a token with the task.
 
     files: (path, n_lines); symbols: (file, name, start_line, end_line); tasks: (task_id, token). Ranges are padded, and
-    those with one line or less between them are one. Only files with a matching symbol are listed for a task.
+    those with one line or less between them are one. pairs (task_id, path) are the candidates of each task: those whose file
+    has symbols get its head at least, if the task has a token; without them only files with a matching symbol are listed.
     """
     named = symbols.select(F.col("file").alias("path"), "start_line", "end_line", F.explode(F.array_distinct(symbol_tokens(F.col("name")))).alias("token"))
     hit = named.join(tasks.select("task_id", "token"), "token").select("task_id", "path", "start_line", "end_line").distinct()
@@ -24,7 +25,11 @@ def relevant_ranges(files: DataFrame, symbols: DataFrame, tasks: DataFrame) -> D
         F.greatest(F.col("start_line") - FOCUS_PADDING, F.lit(1)).cast("int").alias("start"),
         F.least(F.col("end_line") + FOCUS_PADDING, F.col("n_lines")).cast("int").alias("end"),
     )
-    head = hit.select("task_id", "path", F.lit(1).alias("start"), F.least(F.lit(FOCUS_HEAD), F.col("n_lines")).cast("int").alias("end")).distinct()
+    headed = hit.select("task_id", "path", "n_lines")
+    if pairs is not None:
+        some = pairs.join(symbols.select(F.col("file").alias("path")), "path", "left_semi").join(tasks.select("task_id"), "task_id", "left_semi")
+        headed = headed.unionByName(some.join(files.select("path", "n_lines").where("n_lines > 0"), "path").select("task_id", "path", "n_lines"))
+    head = headed.select("task_id", "path", F.lit(1).alias("start"), F.least(F.lit(FOCUS_HEAD), F.col("n_lines")).cast("int").alias("end")).distinct()
     return merge_ranges(body.unionByName(head), ["task_id", "path"])
 
 

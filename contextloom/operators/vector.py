@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contextloom.functions.text import content_hash
+from contextloom.functions.text import content_hash, split_lines
 from contextloom.lexicon import CHUNK_OVERLAP, CHUNK_TOKENS, CHUNK_WEIGHT, NEAREST, SYMBOL_WEIGHT
 
 CHUNK = "path string, chunk_index int, text string, content_hash string, start_line int, end_line int"
@@ -40,7 +40,7 @@ class VectorConfig:
 
 def pack_lines(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     """(first, end) lines of chunks of at most `most` bytes; each begins with the lines of the last `overlap` bytes before."""
-    sizes = [len(x.encode()) + 1 for x in text.splitlines()]
+    sizes = [len(x.encode()) + 1 for x in split_lines(text)]
     out, first, held = [], 0, 0
     for i, size in enumerate(sizes):
         if i > first and held + size > most:
@@ -64,7 +64,7 @@ def chunk_files(files: DataFrame, tokens: int = CHUNK_TOKENS, overlap: int = CHU
         for pdf in batches:
             rows = []
             for path, content in pdf[["path", "content"]].itertuples(index=False):
-                lines = (content or "").splitlines()
+                lines = split_lines(content)
                 for k, (a, b) in enumerate(pack_lines(content or "", 4 * tokens, 4 * overlap)):
                     text = "\n".join(lines[a:b])
                     rows.append((path, k, text, hashlib.sha256(text.encode()).hexdigest(), a + 1, b))
@@ -109,6 +109,26 @@ def nearest(items: DataFrame, query: list[float], k: int = NEAREST, vector: str
     return df.orderBy("distance", tie).limit(k).withColumn("similarity", similarity(F.col("distance")))
 
 
+def nearest_of_each(items: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str = "vector", tie: str = "id", block: int = 256) -> DataFrame:
+    """(query, id, distance, rank): the k items nearest to each query (query, vector), exactly.
+
+    Queries go out in blocks of `block` vectors, so what is sent has a bound whatever their number; each item partition keeps
+    its k best of a query before anything is shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col("query"), F.col("vector").alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    source = items.select(F.col(tie).alias("id"), F.col(vector).alias("_v")).withColumn("_part", F.spark_partition_id())
+    out = None
+    for at in range(blocks):
+        pairs = source.join(F.broadcast(asked.where(F.col("_block") == at)), F.lit(True))
+        local = pairs.select("query", "id", "_part", distance(F.col("_v"), F.col("_q")).alias("distance"))
+        best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("distance", "id"))
+        few = local.withColumn("rank", best("query", "_part")).where(F.col("rank") <= k).withColumn("rank", best("query")).where(F.col("rank") <= k)
+        few = few.select("query", "id", "distance", "rank")
+        out = few if out is None else out.unionByName(few)
+    return out
+
+
 def file_scores(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, chunk_sim, symbol_sim, combined): the best match of either kind for each file."""
     best = lambda df, name: df.groupBy("path").agg(F.max("similarity").alias(name))

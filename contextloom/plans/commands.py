@@ -46,14 +46,17 @@ def build(
     """
     scored = S.score_files(tasks, files, symbols, recency, dependencies)
     if vectors is not None:
-        scored = scored.join(vectors.select("task_id", "path", "combined"), ["task_id", "path"], "left").withColumn("score", S.hybrid_score(F.col("score"), F.col("combined"), weight)).drop("combined")
+        # a file that only its vector finds is blended with a score of 0
+        found = vectors.select("task_id", "path", "combined").join(files.select("path"), "path", "left_semi")
+        blend = S.hybrid_score(F.coalesce("score", F.lit(0.0)), F.col("combined"), weight)
+        scored = scored.join(found, ["task_id", "path"], "full_outer").withColumn("score", blend).drop("combined")
     if markers is not None and items is not None:
         strength = C.mention_strength(C.mentions(files, markers), items)
         scored = scored.join(strength, "path", "left").withColumn("score", S.boost(F.col("score"), F.coalesce("mentions", F.lit(0)), F.coalesce("confidence", F.lit(0.0)))).drop("mentions", "confidence")
     shares = tasks.select("task_id", B.share_budget(F.lit(total), F.col("task"), strict, buffer).alias("share"))
     sized = files.withColumn("n_lines", F.size(lines(F.col("content"))))
     wanted = S.task_tokens(tasks, "task_id", "task")
-    ranges = O.relevant_ranges(sized, symbols, wanted).groupBy("task_id", "path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    ranges = O.relevant_ranges(sized, symbols, wanted, scored.select("task_id", "path")).groupBy("task_id", "path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     costs = sized.select("path", byte_tokens(F.col("content")).alias("full"), B.raw_summary(F.col("content"), F.col("written") if "written" in files.columns else None).alias("summary"))
     focused = ranges.join(files.select("path", "content"), "path").select("task_id", "path", "ranges", byte_tokens(O.render_ranges(F.col("content"), F.col("ranges"))).alias("focused"))
     listed = signature_costs(symbols)
@@ -89,7 +92,7 @@ def diff(before: DataFrame, after: DataFrame, symbols_before: DataFrame, symbols
     kinds = D.diff_files(before, after)
     sides = kinds.join(before.select(F.col("path").alias("_old"), F.col("content").alias("old")), F.coalesce("from", "path") == F.col("_old"), "left").drop("_old")
     sides = sides.join(after.select("path", F.col("content").alias("new")), "path", "left")
-    changed = kinds.join(D.line_changes(sides), "path").join(sides.select("path", byte_tokens(F.coalesce("new", "old")).alias("tokens")), "path")
+    changed = kinds.join(D.line_changes(sides), "path").join(sides.select("path", F.when(F.col("type") == "deleted", 0).otherwise(byte_tokens(F.col("new"))).cast("long").alias("tokens")), "path")
     changed = changed.withColumn("churn", F.col("added_lines") + F.col("removed_lines"))
     modified = kinds.where("type = 'modified'").select(F.col("path").alias("file"))
     symbols = D.diff_symbols(symbols_before.join(modified, "file", "left_semi"), symbols_after.join(modified, "file", "left_semi"))
@@ -102,30 +105,42 @@ def diff(before: DataFrame, after: DataFrame, symbols_before: DataFrame, symbols
     return {"files": changed, "symbols": symbols, "references": D.references(reach), "stats": D.diff_stats(changed, symbols)}
 
 
-def prune(files: DataFrame, total: int, keep: list[str], buffer: float = 0.10) -> DataFrame:
-    """Files of a bundle (path, score, mode, tokens_used, signatures, summary) that fit another budget.
+def prune(files: DataFrame, total: int, keep: list[str], task: str = "", strict: bool = False, buffer: float = 0.10) -> DataFrame:
+    """(path, score, mode, tokens_used, signatures, summary, and content if given) of a bundle's files under another budget.
 
-    Kept paths stay as they are and are paid first. A file that is stored in full or in part takes its stored cost as its
-    full form; nothing is focused anew.
+    task is the bundle's own and takes its part of the budget. Kept paths stay as they are and are paid first. A file that is
+    stored in full or in part takes its stored cost as its full form; nothing is focused anew.
     """
-    share = files.sparkSession.range(1).select(B.share_budget(F.lit(total), F.lit(""), False, buffer)["code"].alias("code"))
-    held = files.where(F.col("path").isin(*keep)) if keep else files.limit(0)
+    spark = files.sparkSession
+    share = spark.range(1).select(B.share_budget(F.lit(total), F.lit(task), strict, buffer)["code"].alias("code"))
+    named = spark.createDataFrame([(p,) for p in sorted(set(keep))], "path string")
+    held, rest = files.join(named, "path", "left_semi"), files.join(named, "path", "left_anti")
     paid = held.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("paid"))
-    rest = files.where(~F.col("path").isin(*keep)) if keep else files
-    listed = F.aggregate(F.coalesce("signatures", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, s: a + byte_tokens(s))
-    rest = rest.crossJoin(F.broadcast(share.crossJoin(paid)))  # one row
-    costs = rest.select(
+    lines_of = F.coalesce("signatures", F.array().cast("array<string>"))
+    listed = F.aggregate(lines_of, F.lit(0).cast("long"), lambda a, s: a + byte_tokens(s))
+    costs = rest.crossJoin(F.broadcast(share.crossJoin(paid))).select(  # one row
         F.lit(0).alias("all"),
         F.greatest(F.col("code") - F.col("paid"), F.lit(0)).alias("budget"),
         "path",
         "score",
         F.when(F.col("mode").isin("full", "focused"), F.col("tokens_used")).alias("full"),
         F.lit(None).cast("long").alias("focused"),
-        F.when(F.size(F.coalesce("signatures", F.array().cast("array<string>"))) > 0, listed).alias("signatures"),
+        F.when(F.size(lines_of) > 0, listed).alias("signatures"),
         "summary",
     )
-    chosen = B.allocate(costs, "all", "budget").select("path", "mode", "tokens_used")
-    return held.select("path", "mode", "tokens_used").unionByName(chosen)
+    chosen = B.allocate(costs, "all", "budget").select("path", F.col("mode").alias("_mode"), F.col("tokens_used").alias("_used"), F.col("summary").alias("_cut"))
+    pruned = rest.join(chosen, "path")
+    content = [F.when(F.col("_mode") == "full", F.col("content")).alias("content")] if "content" in files.columns else []
+    pruned = pruned.select(
+        "path",
+        "score",
+        F.col("_mode").alias("mode"),
+        F.col("_used").alias("tokens_used"),
+        F.when(F.col("_mode") == "signature_only", F.col("signatures")).alias("signatures"),
+        F.when(F.col("_mode") == "summary_only", F.col("_cut")).alias("summary"),
+        *content,
+    )
+    return held.select(*pruned.columns).unionByName(pruned)
 
 
 def inspect(documents: DataFrame, column: str = "json") -> DataFrame:

@@ -132,7 +132,7 @@ def share_budget(spark, sf_dir):
 
 @query(
     "allocate_modes",
-    f"""with recursive {SCORED.replace('w as', 'w as', 1)}, top as (select *, row_number() over (partition by task_id order by score desc, path) as rn from scored qualify rn <= 60),
+    f"""with recursive {SCORED.replace('w as', 'w as', 1)}, top as (select *, row_number() over (partition by task_id order by score desc, path) as rn from scored),
     c as (select t.task_id, t.path, rn, strlen(content) // 4 as full_cost, case when len(content) % 3 = 0 then strlen(content) // 10 end as focused, case when len(content) % 2 = 0 then strlen(content) // 16 end as sigs from top t join ({FILES}) f using (path)),
     g as (select task_id, 0::bigint as rn, 3000::bigint as remaining, ''::varchar as mode, 0::bigint as cost, ''::varchar as path from (select distinct task_id from c)
       union all
@@ -324,25 +324,3 @@ def file_chunks(spark, sf_dir):
 def pruned_changes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("task"), F.col("o_orderkey").cast("string").alias("path"), (F.round("o_totalprice").cast("long") % 997 / 1000.0).alias("score"), F.col("o_custkey").alias("cost"))
     return B.keep_prefix(o, ["task"], "cost", F.lit(20000)).select("task", "path")
-
-
-@query("mode_counts")
-def mode_counts(spark, sf_dir):
-    return U.mode_counts(allocate_modes(spark, sf_dir), ["task_id"])
-
-
-@query("stages", None)
-def conversation_stages(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    # names that end in the last letters of words stand for paths
-    marks = t.select("conv_id", "turn_index", F.transform("lines", lambda x: F.regexp_replace(x, r"(\w)tion\b", "$1.md")).alias("lines"))
-    counts = t.groupBy("conv_id").agg((F.max("turn_index") + 1).alias("turn_count"))
-    return C.stages(C.extract_markers(marks), counts)
-
-
-@query("parsed_turns", None)
-def parsed_turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("## "), F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "\n").alias("content"))
-    return C.parse_turns(whole).select("conv_id", "turn_index", "speaker", F.array_join("lines", "\n").alias("text"))

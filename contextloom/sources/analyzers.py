@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contextloom.functions.text import split_lines
+
 from contextloom.lexicon import SUMMARY_BYTES
 
 SYMBOLS = "file string, ordinal int, name string, kind string, visibility string, signature string, start_line int, end_line int"
@@ -39,7 +41,7 @@ def capped(text: str | None) -> str | None:
 def leading(text: str, mark: str) -> str | None:
     """The first run of comment lines."""
     said = []
-    for line in text.splitlines():
+    for line in split_lines(text):
         line = line.strip()
         if line.startswith(mark) and not line.startswith("#!"):
             said.append(line[len(mark) :].lstrip("/!").strip())
@@ -50,7 +52,7 @@ def leading(text: str, mark: str) -> str | None:
 
 def block_or_line(text: str) -> str | None:
     m = re.match(r"\s*/\*+(.*?)\*/", text, re.S)
-    return capped(" ".join(x.strip().lstrip("*").strip() for x in m[1].splitlines()).strip()) if m else leading(text, "//")
+    return capped(" ".join(x.strip().lstrip("*").strip() for x in split_lines(m[1])).strip()) if m else leading(text, "//")
 
 
 def body_end(lines: list[str], at: int) -> int:
@@ -83,7 +85,7 @@ class Lines:
         return block_or_line(text)
 
     def symbols(self, text: str) -> list[Symbol]:
-        lines, found = text.splitlines(), []
+        lines, found = split_lines(text), []
         for i, line in enumerate(lines):
             for kind, pattern in self.patterns:
                 if m := pattern.match(line):
@@ -119,7 +121,7 @@ class Rust(Lines):
     def symbols(self, text: str) -> list[Symbol]:
         owner, depth, until, found = None, 0, 0, []
         methods = {}
-        for i, line in enumerate(text.splitlines()):
+        for i, line in enumerate(split_lines(text)):
             m = re.match(r"\s*(?:unsafe\s+)?impl\b(?:<[^>]*>)?\s+(?:.*?\bfor\s+)?([\w:]+)", line)
             if m and owner is None:
                 owner, until = m[1], depth
@@ -133,7 +135,7 @@ class Rust(Lines):
         return found
 
     def summary(self, text: str) -> str | None:
-        inner = [x.strip()[3:].strip() for x in text.splitlines() if x.strip().startswith("//!")]
+        inner = [x.strip()[3:].strip() for x in split_lines(text) if x.strip().startswith("//!")]
         if inner:
             return capped(" ".join(inner))
         m = re.search(r"^\s*///(.*)$", text, re.M)
@@ -148,7 +150,7 @@ class Python(Lines):
             nodes = ast.walk(ast.parse(text))
         except (SyntaxError, ValueError):
             return []
-        lines, found = text.splitlines(), []
+        lines, found = split_lines(text), []
         for n in nodes:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(n, ast.ClassDef) else "function"
@@ -229,7 +231,7 @@ class Elixir(Lines):
         return "private" if (m.groupdict().get("private") or "").endswith("p") else "public"
 
     def symbols(self, text: str) -> list[Symbol]:
-        lines, found, seen, module = text.splitlines(), [], set(), ""
+        lines, found, seen, module = split_lines(text), [], set(), ""
         for i, line in enumerate(lines):
             if re.match(r"\s*defstruct\b", line) and module:
                 found.append(Symbol(module, "struct", "public", line.strip(), i + 1, i + 1))

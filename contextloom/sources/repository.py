@@ -16,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contextloom.functions.text import split_lines
+
 from contextloom.lexicon import LOGGED_COMMITS, MAX_FILE_BYTES, SKIPPED_EXTENSIONS, SKIPPED_FOLDERS
 
 FILES = "path string, content string, estimated_tokens long"
@@ -28,7 +30,7 @@ class IgnoreRules:
         self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
 
     def add(self, folder: str, text: str) -> None:
-        for line in text.splitlines():
+        for line in split_lines(text):
             rule = line.rstrip()
             if not rule or rule.startswith("#"):
                 continue
@@ -148,7 +150,7 @@ def from_pyproject(text: str) -> list[Dependency]:
 
 
 def from_requirements(text: str) -> list[Dependency]:
-    return [d for x in text.splitlines() if (d := requirement(x))]
+    return [d for x in split_lines(text) if (d := requirement(x))]
 
 
 def from_go_mod(text: str) -> list[Dependency]:

@@ -9,7 +9,8 @@ from contextloom.operators import inspect as I
 from contextloom.operators import render as R
 from contextloom.operators import scoring as S
 from contextloom.operators import vector as V
-from contextloom.queries import allocate_modes, mode_counts
+from contextloom.fixture_queries import mode_counts
+from contextloom.queries import allocate_modes
 from contextloom.shipping import ship
 
 
