@@ -11,6 +11,7 @@ from contextloom.operators import budget as B
 from contextloom.operators import bundle as U
 from contextloom.operators import conversation as C
 from contextloom.operators import diff as D
+from contextloom.operators import documents as T
 from contextloom.operators import focus as O
 from contextloom.operators import render as R
 from contextloom.operators import scoring as S
@@ -395,3 +396,77 @@ def conversation_stages(spark, sf_dir):
 def items_by_stage(spark, sf_dir):
     held = C.stage_items(made_items(spark, sf_dir), conversation_stages(spark, sf_dir))
     return held.groupBy("conv_id", "stage_index").agg(F.count("*").alias("items"), F.min("turn_index").alias("first"))
+
+
+def small_build(spark):
+    ship(spark)
+    make = spark.createDataFrame
+    tasks = make([(1, "parse config quickly"), (2, "serde")], "task_id long, task string")
+    tree = make([("a.rs", "use serde;\nfn parse() {}\n"), ("b.rs", "config parser")], "path string, content string")
+    own = make([("a.rs", "parse", "function", "fn parse()", 2, 2, "private"), ("b.rs", "Config", "struct", "struct Config", 1, 1, "public")], "file string, name string, kind string, signature string, start_line int, end_line int, visibility string")
+    deps = make([("serde", "1.0", ["derive"]), ("tokio", None, [])], "name string, version string, features array<string>")
+    return tasks, own, deps, P.build(tasks, tree, own, deps)
+
+
+def small_documents(spark):
+    tasks, own, deps, built = small_build(spark)
+    shares = tasks.select("task_id", B.share_budget(F.lit(8000), F.col("task")).alias("share"))
+    return T.context_documents(tasks, built, own, shares, F.lit("- a.rs: parses"), F.lit("root/\n"), deps)
+
+
+@query(
+    "context_documents",
+    values(
+        "task_id, schema_version, files, graph, dependencies, code, warned",
+        [(1, "0.2", "a.rs:full,b.rs:full", 0, "serde 1.0", 6155, False), (2, "0.2", "a.rs:full", 0, "serde 1.0", 6159, False)],
+    ),
+)
+def context_documents(spark, sf_dir):
+    """8000 declared make 8800; of them 5 or 1 for the task, 440 for the summary, 1760 for memory and 440 for safety."""
+    d = small_documents(spark)
+    named = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return d.select(
+        "task_id", "schema_version", named("relevant_files", lambda f: F.concat_ws(":", f["path"], f["inclusion_mode"])).alias("files"), F.size("symbol_graph.functions").cast("long").alias("graph"),
+        named("dependency_graph", lambda x: F.concat_ws(" ", x["name"], x["version"])).alias("dependencies"), F.col("token_budget.code").alias("code"), F.col("warnings").isNotNull().alias("warned"),
+    )
+
+
+@query(
+    "context_markdown",
+    values("task_id, opening, n_parts, fenced", [(1, "# Context Bundle", 6, 3), (2, "# Context Bundle", 6, 2)]),
+)
+def context_markdown(spark, sf_dir):
+    """Five sections and the title's rule; one block of code for the tree and one for each file in full."""
+    text = T.context_markdown(small_documents(spark))
+    count = lambda part: F.regexp_count("text", F.lit(part))
+    return text.select("task_id", F.split("text", "\n")[0].alias("opening"), count("(?m)^##? ").cast("long").alias("n_parts"), (count("(?m)^```") / 2).cast("long").alias("fenced"))
+
+
+@query(
+    "diff_markdown",
+    """select '# Diff: v1 -> v2' as title, 9::bigint as stats, '| gone.rs | Deleted | 0 | 1 |' as first, '- REMOVED: `old_name` (function)' as symbol, '**All affected files (1):**' as affected""",
+)
+def diff_markdown(spark, sf_dir):
+    ship(spark)
+    tree = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    own = lambda rows: spark.createDataFrame(rows, "file string, name string, kind string, signature string, ordinal int")
+    d = P.diff(tree([("gone.rs", "x"), ("same.rs", "fn old_name() {}\n"), ("user.rs", "old_name();")]), tree([("same.rs", "fn new_name() {}\n"), ("user.rs", "old_name();")]), own([("same.rs", "old_name", "function", "fn old_name()", 0)]), own([("same.rs", "new_name", "function", "fn new_name()", 0)]))
+    text = T.diff_markdown(d["files"], d["symbols"], d["references"], d["stats"], "v1", "v2").select(F.split("text", "\n").alias("l"))
+    line = lambda start: F.filter("l", lambda x: F.startswith(x, F.lit(start)))
+    return text.select(
+        F.col("l")[0].alias("title"), F.size(F.filter("l", lambda x: x.rlike("^\\| (Files|Symbols|Total) "))).cast("long").alias("stats"), line("| gone")[0].alias("first"), line("- REMOVED")[0].alias("symbol"), line("**All")[0].alias("affected")
+    )
+
+
+@query(
+    "index_counters",
+    """with c as (select doc_id as path, case when doc_id % 7 = 0 then md5(text || '!') else md5(text) end as h from documents where doc_id % 11 <> 0), s as (select doc_id as path, md5(text) as h from documents where doc_id % 13 <> 0),
+    t as (select path, case when c.h is null then 'removed' when c.h = s.h then 'unchanged' else 'changed' end as status from c full join s using (path))
+    select count(*) filter (status = 'changed') as files_indexed, count(*) filter (status = 'removed') as files_removed, count(*) filter (status = 'unchanged') as files_unchanged,
+      (select count(*) from t, range(0, 3) x(i) where status = 'changed') as chunks_embedded, 0::bigint as symbols_embedded from t""",
+)
+def index_counters(spark, sf_dir):
+    from contextloom.queries import file_state_changes
+
+    status = file_state_changes(spark, sf_dir)
+    return V.index_stats(status, status.select("path", F.explode(F.sequence(F.lit(0), F.lit(2)))))

@@ -38,6 +38,17 @@ class VectorConfig:
         return cls(**{k: v for k, v in own.items() if k in cls.__dataclass_fields__})
 
 
+# Known embedding models and the sizes of their vectors.
+MODELS = {"AllMiniLML6V2": 384, "AllMiniLML12V2": 384, "BGESmallENV15": 384, "BGEBaseENV15": 768, "BGELargeENV15": 1024}
+
+
+def dimension_of(name: str) -> int:
+    """Size of a known model's vectors."""
+    if name not in MODELS:
+        raise ValueError(f"unknown embedding model: '{name}'. Supported: {', '.join(MODELS)}")
+    return MODELS[name]
+
+
 def pack_lines(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     """(first, end) lines of chunks of at most `most` bytes; each begins with the lines of the last `overlap` bytes before."""
     sizes = [len(x.encode()) + 1 for x in split_lines(text)]
@@ -151,3 +162,28 @@ def refresh(stored: DataFrame, fresh: DataFrame, status: DataFrame) -> DataFrame
     """Rows of an index table (path, ..) after changed and removed files' rows made way for the fresh ones."""
     stale = status.where("status <> 'unchanged'").select("path")
     return stored.join(stale, "path", "left_anti").unionByName(fresh.join(status.where("status = 'changed'"), "path", "left_semi"))
+
+
+def index_stats(status: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """One row of counters of an index run: files by status, and the chunks and symbols of changed files that were embedded."""
+    count = lambda kind, name: F.count_if(F.col("status") == kind).alias(name)
+    out = status.agg(count("changed", "files_indexed"), count("removed", "files_removed"), count("unchanged", "files_unchanged"))
+    fresh = status.where("status = 'changed'").select("path")
+    embedded = lambda df, name: df.join(fresh, "path", "left_semi").agg(F.count("*").alias(name))
+    out = out.crossJoin(embedded(chunks, "chunks_embedded"))  # one row each
+    return out.crossJoin(embedded(symbols, "symbols_embedded")) if symbols is not None else out.withColumn("symbols_embedded", F.lit(0).cast("long"))
+
+
+def search(tasks: DataFrame, chunks: DataFrame, symbols: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]], k: int = NEAREST) -> DataFrame:
+    """(task_id, path, chunk_sim, symbol_sim, combined): tasks (task_id, task) against an index of chunks and symbols.
+
+    chunks and symbols: (path, vector). Each task is embedded and meets its k nearest chunks and k nearest symbols.
+    """
+    asked = embed(tasks.select(F.col("task_id").alias("query"), "task"), "task", model).select("query", "vector")
+    parts = []
+    for df, name in ((chunks, "chunk_sim"), (symbols, "symbol_sim")):
+        own = df.select("path", "vector").withColumn("id", F.struct("path", F.monotonically_increasing_id()))
+        near = nearest_of_each(own, asked, k).select(F.col("query").alias("task_id"), F.col("id.path").alias("path"), similarity(F.col("distance")).alias("s"))
+        parts.append(near.groupBy("task_id", "path").agg(F.max("s").alias(name)))
+    both = parts[0].join(parts[1], ["task_id", "path"], "full_outer").na.fill(0.0, ["chunk_sim", "symbol_sim"])
+    return both.withColumn("combined", CHUNK_WEIGHT * F.col("chunk_sim") + SYMBOL_WEIGHT * F.col("symbol_sim"))
