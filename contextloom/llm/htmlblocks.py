@@ -72,7 +72,7 @@ def _marks(rest: str) -> tuple[frozenset[str], bool]:
 def parse(source: str) -> Page:
     """Blocks of text in page order, each with its innermost container; unclosed and stray tags are tolerated."""
     page = Page([Container("", frozenset(), -1)])
-    boxes, stack, at, parts, tag, links, linked = page.boxes, [0], 0, [], "", 0, 0
+    boxes, stack, at, parts, tag, links, linked, marked = page.boxes, [0], 0, [], "", 0, 0, False
 
     def end() -> None:
         nonlocal linked
@@ -82,6 +82,14 @@ def parse(source: str) -> Page:
         parts.clear()
         linked = 0
 
+    def leave() -> None:
+        """End the block, and the box of a marked leaf if one is open."""
+        nonlocal marked
+        end()
+        if marked:
+            stack.pop()
+            marked = False
+
     def say(chunk: str) -> None:
         nonlocal linked
         if chunk:
@@ -112,6 +120,9 @@ def parse(source: str) -> Page:
         if not name:
             continue
         if m["close"]:
+            if marked and (name in CONTAINERS or name in LEAVES):
+                leave()
+                tag = ""
             if name in CONTAINERS:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if boxes[stack[k]].name == name), 0)
                 if depth:
@@ -134,27 +145,20 @@ def parse(source: str) -> Page:
             else:
                 at = _silent_end(source, name, at, ends)
         elif name in CONTAINERS:
-            end()
+            leave()
             tag = ""
             links = 0
             marks, hidden = _marks(m["rest"]) if m["rest"] else (frozenset(), False)
             boxes.append(Container(name, marks, stack[-1], hidden or boxes[stack[-1]].hidden))
             stack.append(len(boxes) - 1)
         elif name in LEAVES:
-            end()
+            leave()
             tag = name
             marks, hidden = _marks(m["rest"]) if m["rest"] else (frozenset(), False)
             if marks or hidden:  # a marked leaf is a box of its own until the next container or leaf
                 boxes.append(Container(name, marks, stack[-1], hidden or boxes[stack[-1]].hidden))
                 stack.append(len(boxes) - 1)
-                end_of = re.compile(rf"</{name}\s*>|<(?:/?(?:{'|'.join(sorted(CONTAINERS | LEAVES))}))[\s>/]", re.I).search(source, at)
-                stop = end_of.start() if end_of else size
-                inner = source[at:stop]
-                parts.append(_inline(inner))
-                end()
-                stack.pop()
-                tag = ""
-                at = stop
+                marked = True
         elif name == "br" or name == "img":
             parts.append(" ")
         elif name == "a":
@@ -163,11 +167,6 @@ def parse(source: str) -> Page:
     return page
 
 
-def _inline(source: str) -> str:
-    """Text of markup without block elements."""
-    return html.unescape(TOKEN.sub(lambda m: " " if (m["name"] or "").lower() == "br" else "", source))
-
-
 def _silent_end(source: str, name: str, at: int, ends: dict[str, dict[int, int]]) -> int:
     """Where an element whose start tag ends at `at` has its end; `at` itself if it has no end tag.
 

@@ -14,7 +14,8 @@ counts as if outside of it, and one within or with such a word is weighed by its
 hidden boxes and comments nothing else is telling; comments are a wrapper only of a page that has no other prose.
 
 Defined results: null and blank pages have an empty text; a page that is all boilerplate has an empty text; repeated
-rows are extracted one by one; other columns pass through, but a column with the name of a result is replaced.
+rows are extracted one by one; a very long page is worked on whole; an empty table gives an empty result; other columns pass
+through, but a column with the name of a result is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ file_contents and read_files turn records into the bytes of .warc.gz files and b
 
 Defined results: a null page is an empty payload; a payload that is not text/html, text/plain or application/xhtml+xml
 gets no conversion record; a response without HTTP headers counts as a bare payload; repeated rows give repeated
-records; records of other kinds are passed over; an empty table gives none.
+records; records of other kinds are passed over; an empty table gives none. Chunked and compressed payloads are undone for
+the text, while digests and lengths are those of the payload as it was sent. A file that is cut gives the records before the
+cut, the last one with what is left of its block. A payload of any length is worked on whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +45,9 @@ _ARROW = pa.schema([(n, _PAIRS if n == "headers" else pa.binary() if n == "block
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 LINK = re.compile(r"<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Size of a chunk in a chunked payload.
+CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[^\r\n]*\r\n")
+META_BYTES = 1024
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -69,13 +76,47 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def decode(payload: bytes, content_type: str) -> str:
-    found = CHARSET.search(content_type)
+    """Text in the charset of the header, else of the first META_BYTES of the page, else in UTF-8; unknown ones count as UTF-8."""
+    found = CHARSET.search(content_type) or CHARSET.search(payload[:META_BYTES].decode("latin-1"))
     try:
         return payload.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError, ValueError):
         return payload.decode("utf-8", "replace")
 
 
+def inflate(data: bytes, wbits: int = 31) -> bytes:
+    """All members of compressed data, as far as they can be read."""
+    out = []
+    while data:
+        one = zlib.decompressobj(wbits)
+        try:
+            out.append(one.decompress(data) + one.flush())
+        except zlib.error:
+            break
+        data = one.unused_data
+    return b"".join(out)
+
+
+def entity(payload: bytes, http: list[tuple[str, str]]) -> bytes:
+    """The payload without chunks and compression; what does not have the form that its headers name stays as it is."""
+    said = {n.lower(): v.lower() for n, v in http}
+    if "chunked" in said.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while m := CHUNK.match(payload, at):
+            size = int(m[1], 16)
+            parts.append(payload[m.end() : m.end() + size])
+            at = m.end() + size + 2
+            if not size:
+                break
+        payload = b"".join(parts) or payload
+    coding = said.get("content-encoding", "")
+    if "gzip" in coding:
+        return inflate(payload) or payload
+    if "deflate" in coding:
+        return inflate(payload, 15) or inflate(payload, -15) or payload
+    return payload
+
+
 def plain_text(source: str) -> str:
     """All visible text, a line for each block."""
     return "\n".join(b.text for b in parse(source).blocks)
@@ -87,7 +128,7 @@ def derive(response: dict) -> Iterator[dict]:
     payload_digest = response["payload_digest"] or digest(payload)
     is_html = "html" in kind.lower()
     is_text = is_html or kind.lower().startswith("text/plain")
-    text = decode(payload, kind) if is_text else ""
+    text = decode(entity(payload, http), kind) if is_text else ""
 
     def record(what: str, content_type: str, block: bytes, more: list[tuple[str, str]]) -> dict:
         headers = [{"name": n, "value": v} for n, v in more]
@@ -170,18 +211,20 @@ def to_bytes(record: dict) -> bytes:
 def from_bytes(data: bytes) -> Iterator[dict]:
     """Records of a WARC file's contents, whether compressed or not."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflate(data)
     known = {"warc-type": "kind", "warc-record-id": "record_id", "warc-date": "warc_date", "warc-target-uri": "target_uri", "warc-refers-to": "refers_to", "warc-payload-digest": "payload_digest", "warc-block-digest": "block_digest", "content-type": "content_type"}
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
+        stop = data.find(b"\r\n\r\n", at)
+        if stop < 0:  # cut within its header
+            return
         record: dict = dict.fromkeys(_NAMES) | {"headers": []}
         size = 0
         for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             name, value = name.strip(), value.strip()
             if name.lower() == "content-length":
-                size = int(value)
+                size = int(value) if value.isdigit() else 0
             elif name.lower() in known:
                 record[known[name.lower()]] = value
             else:
@@ -208,7 +251,9 @@ def read_files(files: DataFrame, content: str = "content") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                yield from pa.Table.from_pylist(list(from_bytes(data.as_py() or b"")), schema=_ARROW).to_batches()
+                found = from_bytes(data.as_py() or b"")
+                while some := list(itertools.islice(found, 256)):
+                    yield from pa.Table.from_pylist(some, schema=_ARROW).to_batches()
 
     return files.select(F.col(content).alias("content")).mapInArrow(run, RECORD)
 
@@ -216,4 +261,4 @@ def read_files(files: DataFrame, content: str = "content") -> DataFrame:
 def op2_derivatives(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = derivatives(responses_of(pages))
-    return out.select("record_id", "kind", "target_uri", "warc_date", "content_type", "refers_to", "payload_digest", "block_digest", F.octet_length("block").cast("long").alias("content_length"))
+    return out.select("record_id", "kind", "target_uri", "warc_date", "content_type", "refers_to", "payload_digest", "block_digest", "headers", F.decode("block", "UTF-8").alias("block"), F.octet_length("block").cast("long").alias("content_length"))

@@ -216,3 +216,64 @@ def test_derivatives_round_trip(spark):
     assert sorted(map(str, again)) == sorted(map(str, made))
     plain = {"record_id": "<x>", "kind": "response", "target_uri": "u", "warc_date": "d", "payload_digest": None, "headers": [], "block": b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"}
     assert [r["kind"] for r in warc.derive(plain)] == ["metadata"]
+
+
+def test_marked_leaves_hold_no_scripts():
+    page = '<article><p class="lead">Hello there <script>var a=1;</script><style>p{}</style>world, <button>Buy</button>this is the <a href="x">linked</a> text of a page that says much.</p></article>'
+    assert mincut.main_text(page) == "Hello there world, this is the linked text of a page that says much."
+    assert mincut.main_text('<article><p id=a>One two three four five.<p id=b>Six seven eight nine.</article>') == "One two three four five.\nSix seven eight nine."
+
+
+def test_extraction_of_empty_tables_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "word " * 40 + "</p>", "x", 7)], "page_id long, url string, html string, Text string, _row int")
+    row = mincut.extract(df).first()
+    assert row["_row"] == 7 and row["text"].startswith("word word") and row["n_chars"] == 199
+    assert mincut.extract(df.limit(0)).count() == 0
+
+
+def test_odd_responses(spark):
+    import gzip
+
+    def response(head, payload):
+        return {"record_id": "<r>", "target_uri": "u", "warc_date": "d", "payload_digest": None, "headers": [], "block": b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + payload}
+
+    def text(head, payload):
+        return [x["block"].decode() for x in warc.derive(response(head, payload)) if x["kind"] == "conversion"]
+
+    page = "<p>Grüße an alle</p>"
+    for charset in (b"idna", b"undefined", b"nothing", b"utf-8"):
+        assert text(b"Content-Type: text/html; charset=" + charset, page.encode()) == ["Grüße an alle"]
+    assert text(b"Content-Type: text/html", b'<meta charset="iso-8859-1">' + page.encode("latin-1")) == ["Grüße an alle"]
+    packed = gzip.compress(page.encode())
+    assert text(b"Content-Type: text/html\r\nContent-Encoding: gzip", packed) == ["Grüße an alle"]
+    chunked = b"%x\r\n" % 10 + packed[:10] + b"\r\n%x;a=b\r\n" % (len(packed) - 10) + packed[10:] + b"\r\n0\r\n\r\n"
+    assert text(b"Content-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked) == ["Grüße an alle"]
+    assert text(b"Content-Type: text/html\r\nContent-Encoding: gzip", b"not packed") == ["not packed"]
+
+
+def test_cut_files():
+    record = {"kind": "response", "record_id": "<a>", "warc_date": "d", "target_uri": "u", "refers_to": None, "payload_digest": None, "block_digest": None, "content_type": "t", "headers": [], "block": b"x" * 50}
+    whole = warc.to_bytes(record) * 2
+    assert len(list(warc.from_bytes(whole))) == 2
+    assert [len(x["block"]) for x in warc.from_bytes(whole[:-30])] == [50, 24]
+    assert len(list(warc.from_bytes(whole[: len(whole) // 2 + 20]))) == 1
+    import gzip
+
+    packed = gzip.compress(warc.to_bytes(record))
+    assert len(list(warc.from_bytes(packed + packed[:-12]))) >= 1
+
+
+def test_toxicity_of_empty_tables_clashes_and_contradictions(spark):
+    texts = [(i, ("bad " if i % 2 else "") + f"plain text number{i} of many words") for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("Score", F.lit("x")).withColumn("_row", F.lit(3))
+    both = [(i, i % 2) for i in range(80)] + [(1, 0), (3, 0), (5, 1)]
+    field = toxicity.train(docs, spark.createDataFrame(both, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.tag(docs, field).collect()}
+    assert all(got[i].predicted == i % 2 and got[i]["_row"] == 3 for i in range(80))
+    assert toxicity.tag(docs.limit(0), field).count() == 0
+    assert toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")) is None
+
+
+def test_spans_are_runs():
+    p = np.array([0.1, 0.9, 0.6, 0.2, 0.7])
+    assert toxicity._spans("a bb cc d ee", p) == [{"begin": 2, "end": 7, "marginal": 0.9}, {"begin": 10, "end": 12, "marginal": 0.7}]
