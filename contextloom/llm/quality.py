@@ -1,13 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histogram of byte classes and its histogram of common words are compared with those of each
+A document's histogram of character classes (Unicode categories of code points) and its histogram of common words are compared with those of each
 reference language by the Jensen-Shannon distance (base 2, so 0 to 1). A document that is close to no language in
 both is rejected; too short a text gets no verdict from a histogram, nor does one that is labelled with a language without
 a reference, as no reference tells what its histograms should be. Plain base rules come before. References are fitted for
 the languages of common_words; a document without a label is held against all of them.
 
 Defined results: a null text counts as empty; an empty text has zero counts and fails the base rules; repeated rows
-are judged one by one; other columns pass through, but a column with the name of a result is replaced by it; an empty
+are judged one by one; a very long text is measured whole; other columns pass through, but a column with the name of a result is replaced by it; an empty
 table gives an empty result, and with no reference language only the base rules hold.
 """
 
@@ -29,9 +29,9 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du que est pour".split(),
 }
 
-#: Classes of bytes besides lower-case letters, white space and bytes within a character beyond ASCII.
-CLASSES = {"upper": "A-Z", "digit": "0-9", "point": r".,;:!?'\"()\-"}
-CHAR_BINS = ["space", "beyond_ascii", *CLASSES, "symbol", "lower"]
+#: Classes of code points by Unicode category, besides white space between words; what is in none is "other".
+CLASSES = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "letter": r"\p{Lt}\p{Lm}\p{Lo}", "mark": r"\p{M}", "digit": r"\p{N}", "point": r"\p{P}", "symbol": r"\p{S}"}
+CHAR_BINS = ["space", *CLASSES, "other"]
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULTS = [*BASE, "base_failed", "near_lang", "js_chars", "js_words", "kept"]
@@ -39,7 +39,7 @@ RESULTS = [*BASE, "base_failed", "near_lang", "js_chars", "js_words", "kept"]
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits; a distance is judged only over at least so many bytes or words."""
+    """Limits; a distance is judged only over at least so many characters or words."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -60,17 +60,16 @@ def measure(docs: DataFrame, text: str, rules: QualityRules) -> DataFrame:
     df = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("q_flat", flat(F.col("q_text")))
     df = df.withColumn("q_words", flat_words(F.col("q_flat"))).withColumn("q_n", F.size("q_words"))
-    # what is neither a lower-case letter nor white space nor beyond ASCII is short, so the rest reads little
-    df = df.withColumn("q_odd", F.regexp_replace("q_flat", r"[a-z\x20\x{80}-\x{10FFFF}]+", ""))
+    # in most texts what is neither a lower-case letter of ASCII nor white space is short, so the rest reads little
+    df = df.withColumn("q_odd", F.regexp_replace("q_flat", r"[a-z\x20]+", ""))
     df = df.withColumn("word_chars", _long(F.char_length("q_flat") - F.greatest(F.col("q_n") - 1, F.lit(0))))
-    rest = F.regexp_replace("q_odd", "[^%s]+" % "".join(CLASSES.values()), "")
-    df = df.withColumn("q_plain", rest)
+    of = {k: F.char_length(F.regexp_replace("q_odd", f"[^{c}]+", "")) for k, c in CLASSES.items()}
+    df = df.withColumn("q_odds", F.array(*of.values()))
+    known = [F.get("q_odds", F.lit(i)) for i in range(len(of))]
+    known[list(of).index("lower")] += F.col("word_chars") - F.char_length("q_odd")
     spaces = F.char_length("q_text") - F.col("word_chars")
-    beyond = F.octet_length("q_text") - F.char_length("q_text")
-    known = [F.char_length(F.regexp_replace("q_plain", f"[^{c}]+", "")) for c in CLASSES.values()]
-    symbols = F.char_length("q_odd") - F.char_length("q_plain")
-    lower = F.octet_length("q_text") - spaces - beyond - F.char_length("q_odd")
-    df = df.withColumn("q_chars", F.array(*map(_long, [spaces, beyond, *known, symbols, lower])))
+    other = F.char_length("q_odd") - F.aggregate("q_odds", F.lit(0), lambda a, x: a + x)
+    df = df.withColumn("q_chars", F.array(*map(_long, [spaces, *known, other])))
     hits = F.array_join(F.filter("q_words", lambda w: w.isin(every)), "  ")
     df = df.withColumn("q_hits", F.concat(F.lit(" "), hits, F.lit(" ")))
     for lang, own in rules.common_words.items():
@@ -82,10 +81,12 @@ def measure(docs: DataFrame, text: str, rules: QualityRules) -> DataFrame:
     df = df.withColumn("q_bits", F.char_length(F.bin("q_n")))
     df = df.withColumn("q_sorted", sorted_windows(F.col("q_words"), F.col("q_n"), F.col("q_bits")))
     up = lambda x: F.call_function("shiftright", x, F.col("q_bits"))
-    same = lambda x, y: F.coalesce(up(x) == up(y), F.lit(False))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q_bits")) - 1
+    word = lambda x, k: F.get("q_words", x.bitwiseAND(low).cast("int") + k)
+    # equal hashes are few, and their words decide
+    same = lambda x, y: F.coalesce((up(x) == up(y)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
     at = lambda i: F.get(F.col("q_sorted"), i)
     df = df.withColumn("q_twice", F.filter("q_sorted", lambda x, i: same(x, at(i - 1)) | same(x, at(i + 1))))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q_bits")) - 1
     covered = F.flatten(F.transform("q_twice", lambda x: F.sequence(x.bitwiseAND(low), x.bitwiseAND(low) + 2)))
     df = df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     return df.withColumns(

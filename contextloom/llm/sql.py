@@ -73,8 +73,8 @@ def _op1() -> str:
     full = ", ".join(f"list_append(own_{x}, n_words - list_sum(own_{x})::bigint) as q_{x}" for x in langs)
     kinds = ", ".join("len(regexp_replace(odd, '[^" + c.replace("'", "''") + "]+', '', 'g'))" + f" as k_{n}" for n, c in CLASSES.items())
     known = " + ".join(f"k_{n}" for n in CLASSES)
-    bins = "[spaces, beyond, " + ", ".join(f"k_{n}" for n in CLASSES) + f", len(odd) - ({known}), strlen(t) - spaces - beyond - len(odd)]::bigint[]"
-    assert len(CHAR_BINS) == 4 + len(CLASSES)
+    bins = "[spaces, " + ", ".join(f"k_{n}" + " + word_chars - len(odd)" * (n == "lower") for n in CLASSES) + f", len(odd) - ({known})]::bigint[]"
+    assert len(CHAR_BINS) == 2 + len(CLASSES)
 
     def shares(name: str, column: str, lang: str) -> str:
         rows = f"select generate_subscripts({column}, 1) as i, unnest({column}) as v from m where lang = '{lang}' and n_words >= {rules.guard_words}"
@@ -91,10 +91,10 @@ def _op1() -> str:
     each = " union all ".join(f"select doc_id, '{x}' as near_lang, {js('chars', 'size', f'rc_{x}')} as js_chars, {js(f'q_{x}', 'n_words', f'rw_{x}')} as js_words from m where (select h from rc_{x}) is not null" for x in langs)
     fits = lambda c, most, n, guard: f"({n} < {guard} or {c} is null or {c} <= {most})"
     return f"""with d as (select doc_id, lang, coalesce(text, '') as t, {WORDS} as ws from documents),
-a as (select *, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars, regexp_replace(t, '[a-z\\x20\\x09-\\x0D\\x{{80}}-\\x{{10FFFF}}]+', '', 'g') as odd,
+a as (select *, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars, regexp_replace(t, '[a-z\\x20\\x09-\\x0D]+', '', 'g') as odd,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
-b as (select *, len(regexp_replace(odd, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(t) - word_chars as spaces, strlen(t) - len(t) as beyond, {kinds}, {counts} from a),
-m as (select *, {bins} as chars, strlen(t) as size, {full} from b),
+b as (select *, len(regexp_replace(odd, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(t) - word_chars as spaces, {kinds}, {counts} from a),
+m as (select *, {bins} as chars, len(t) as size, {full} from b),
 w as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d where len(ws) > 2)),
 x as (select doc_id, i from w qualify count(*) over (partition by doc_id, g) > 1),
 r as (select doc_id, count(distinct i + j)::bigint as n_repeat_words from x, range(0, 3) o(j) group by doc_id),
