@@ -3,6 +3,7 @@ and classification, layouts, overlaps and pruning over small inline rows, each w
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contextloom import lexicon as L
@@ -13,11 +14,12 @@ from contextloom.operators import conversation as C
 from contextloom.operators import diff as D
 from contextloom.operators import documents as T
 from contextloom.operators import focus as O
+from contextloom.operators import inspect as I
 from contextloom.operators import render as R
 from contextloom.operators import scoring as S
 from contextloom.operators import vector as V
 from contextloom.plans import commands as P
-from contextloom.queries import FILES, LINES, SQL, allocate_modes, files, query, table, turns
+from contextloom.queries import FILES, LINES, SQL, allocate_modes, files, query, symbols, table, turns
 from contextloom.shipping import ship
 
 
@@ -470,3 +472,98 @@ def index_counters(spark, sf_dir):
 
     status = file_state_changes(spark, sf_dir)
     return V.index_stats(status, status.select("path", F.explode(F.sequence(F.lit(0), F.lit(2)))))
+
+
+MADE_FILES = "select o_orderkey % 50 as task_id, o_orderkey::varchar as path, (o_custkey % 700) / 1000::double as score, ['full', 'focused', 'signature_only', 'summary_only', 'skipped'][(o_orderkey % 5) + 1] as mode, o_custkey % 300 as tokens_used from orders"
+
+
+def made_files(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    mode = F.get(F.array(*map(F.lit, B.MODES)), (F.col("o_orderkey") % 5).cast("int"))
+    return o.select((F.col("o_orderkey") % 50).alias("task_id"), F.col("o_orderkey").cast("string").alias("path"), (F.col("o_custkey") % 700 / 1000.0).alias("score"), mode.alias("mode"), (F.col("o_custkey") % 300).alias("tokens_used"))
+
+
+@query(
+    "audited_files",
+    f"""with f as ({MADE_FILES}) select task_id, {', '.join(f"count(*) filter (mode = '{m}') as {m}" for m in B.MODES)}, sum(tokens_used)::bigint as tokens,
+    array_to_string((list(path order by score desc, path))[1:10], ',') as top_paths from f group by task_id""",
+)
+def audited_files(spark, sf_dir):
+    return I.audit(made_files(spark, sf_dir), ["task_id"]).withColumn("top_paths", F.array_join("top_paths", ","))
+
+
+@query(
+    "context_checks",
+    f"""with f as (select *, row_number() over (partition by task_id order by path) as rank from ({MADE_FILES})),
+    s as (select *, lag(score) over (partition by task_id order by rank) as before from f where mode <> 'skipped'), u as (select task_id, sum(tokens_used) as used from f group by 1)
+    select task_id, 'budget' as "check", count(*) as found from u where used > 2000 group by 1 union all select task_id, 'order', count(*) from s where score > before group by 1""",
+)
+def context_checks(spark, sf_dir):
+    f = made_files(spark, sf_dir)
+    f = f.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy("path")))  # not by score
+    found = I.check_context(f, ["task_id"], budget=f.select("task_id", F.lit(2000).alias("code")).distinct())
+    return found.groupBy("task_id", "check").agg(F.count("*").alias("found"))
+
+
+@query(
+    "graph_files",
+    """with s as (select p_brand as file, p_partkey % 10 as kind from part), a as (select p_brand as path, ['full', 'summary_only', 'skipped'][(min(p_partkey) % 3) + 1] as mode, (count(*) % 4)::double as score from part group by 1)
+    select file, count(*) as symbols from s join a on a.path = s.file where score > 0 and mode = 'summary_only' group by file""",
+)
+def graph_files(spark, sf_dir):
+    mode = F.get(F.array(*map(F.lit, ("full", "summary_only", "skipped"))), (F.min("p_partkey") % 3).cast("int"))
+    chosen = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(mode.alias("mode"), (F.count("*") % 4).cast("double").alias("score"))
+    return U.graph_symbols(symbols(spark, sf_dir), chosen).groupBy("file").agg(F.count("*").alias("symbols"))
+
+
+NAMED = "regexp_replace(list_reduce(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b), '[^A-Za-z0-9]+', '', 'g')"
+KINDS = "['function', 'struct', 'class', 'enum', 'trait', 'interface', 'module', 'method', 'constant', 'type_alias'][(p_partkey % 10) + 1]"
+
+
+@query(
+    "symbol_texts",
+    f"""with s as (select p_partkey, p_brand as path, {NAMED} as name, {KINDS} as kind, lower(p_type) || ' ' || {NAMED} as signature from part)
+    select path || '::' || name || '::' || replace(kind, '_', '') as id, kind || ' ' || name || ' ' || signature as embed_text, sha256(kind || ' ' || name || ' ' || signature) as content_hash from s""",
+)
+def symbol_texts(spark, sf_dir):
+    return V.symbol_records(symbols(spark, sf_dir)).select("id", "embed_text", "content_hash")
+
+
+@query(
+    "signature_costs",
+    f"""with s as (select p_brand as path, lower(p_type) || ' ' || {NAMED} || ' (lines ' || (p_partkey % 40 + 1) || '-' || (p_partkey % 40 + 1 + p_size) || ')' as line from part)
+    select path, count(*) as lines, sum(strlen(line) // 4)::bigint as cost from s group by path""",
+)
+def signature_costs(spark, sf_dir):
+    return P.signature_costs(symbols(spark, sf_dir)).select("path", F.size("signatures").cast("long").alias("lines"), F.col("signature_cost").alias("cost"))
+
+
+@query("focused_text", "select 1::bigint as id, '// Lines 1-2\na\nb\n\n// ...\n\n// Lines 4-9\nd\ne\n' as text")
+def focused_text(spark, sf_dir):
+    """The last range reaches beyond the last line."""
+    ship(spark)
+    df = spark.createDataFrame([(1, "a\nb\nc\nd\ne\n", [(1, 2), (4, 9)])], "id long, content string, ranges array<struct<start: int, end: int>>")
+    return df.select("id", O.render_ranges(F.col("content"), F.col("ranges")).alias("text"))
+
+
+@query("exact_mentions", values("path, marker, turn_index", [("src/a.rs", "src/a.rs", 3)]))
+def exact_mentions(spark, sf_dir):
+    ship(spark)
+    make = spark.createDataFrame
+    return C.mentions(make([("src/a.rs",), ("b.rs",)], "path string"), make([("a.rs", 1), ("src/a.rs", 3), ("src/b.rs", 5)], "file string, turn_index long"), loose=False)
+
+
+@query("used_dependencies", values("name", [("serde",), ("Tokio",)]))
+def used_dependencies(spark, sf_dir):
+    ship(spark)
+    make = spark.createDataFrame
+    return U.used_dependencies(make([("serde",), ("Tokio",), ("axum",)], "name string"), make([("use SERDE;",), ("tokio::main and serde",)], "content string")).select("name")
+
+
+BUNDLES = [(1, '{"task": "x", "relevant_files": []}', "context"), (2, '{"from_ref": "a", "to_ref": "b"}', "diff"), (3, '{"other": 1}', None), (4, "[1]", None), (5, "no json", None)]
+
+
+@query("bundle_types", values("id, bundle_type", [(a, c) for a, _, c in BUNDLES]))
+def bundle_types(spark, sf_dir):
+    ship(spark)
+    return P.inspect(spark.createDataFrame([r[:2] for r in BUNDLES], "id long, json string")).select("id", "bundle_type")
