@@ -1,9 +1,14 @@
 """Content and boilerplate of a page by a minimum cut.
 
-Each block of text is a node between two terminals. A linear classifier turns cues (the nearest telling container, class
-names, links, length, punctuation) into a cost for either label, which become the capacities from and to the terminals.
-Smoothness edges join blocks that follow one another, more strongly within one container, and join blocks and containers
-to the container around them. The minimum cut is the labelling of least total cost.
+Each block of text is a node between two terminals. The nearest telling container and a logistic regression over cues of
+the block (length, links, punctuation, kind of element, legal lines) give a cost for either label, which become the
+capacities from and to the terminals. Smoothness edges join blocks that follow one another, more strongly within one
+container, and join blocks and containers to the container around them. The minimum cut is the labelling of least total
+cost: blocks in telling containers keep their label, and a block that nothing tells about is outvoted by its neighbours.
+
+The regression is fitted on about SAMPLE pages, chosen by hash: blocks in articles count as content, blocks in navigation,
+footers and the like as boilerplate. It starts at fixed scores of the cues and stays there as far as labels are few, so a
+table without labelled blocks, or with one label only, is judged by those. All pages are extracted, sampled or not.
 
 A node whose terminal capacity is larger than all its edges together has its label in every minimum cut, so such nodes
 are settled first, again and again, their edges becoming terminal capacity of their neighbours; max-flow decides the rest.
@@ -20,13 +25,15 @@ through, but a column with the name of a result is replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.htmlblocks import HEADINGS, Container, Page, parse
+from contextloom.llm.htmlblocks import HEADINGS, Block, Container, Page, parse
 from contextloom.llm.shared import free_name, table
 
 RESULTS = ["text", "n_chars"]
@@ -41,13 +48,21 @@ BAD_MARKS = set(
     "copyright legal disclaimer toolbar contentinfo complementary tags skip".split()
 )
 COMMENT_MARKS = set("comment comments reply replies respond disqus discussion".split())
-LINK_MARK, OUTSIDE, BODY, LINKS, SHORT, COPYRIGHT = 9.0, 2.5, 1.0, 3.0, 0.5, 4.0
+LINK_MARK, OUTSIDE, BODY = 9.0, 2.5, 1.0
+#: Scores of cues before the fit.
+LINKS, SHORT, COPYRIGHT = 3.0, 0.5, 4.0
 LENGTHS = ((400, 3.0), (160, 2.0), (60, 1.0))
+#: Cues of a block: length by these bounds, part in links, end of a sentence, kind of element, legal line.
+BOUNDS = (20, 40, 60, 100, 160, 250, 400, 800)
+SHAPE = (len(BOUNDS) + 1, 3, 2, 4, 2)
+KINDS = dict.fromkeys(HEADINGS, 0) | {"p": 1, "pre": 1} | dict.fromkeys(("li", "dt", "dd", "td", "th"), 2)
+#: Pages for the fit, blocks' worth of faith in the scores before it, and the most that cues may weigh.
+SAMPLE, FAITH, MOST = 2000, 20.0, 3.5
 #: Taken from an article that has or is within a box with a bad mark; long text outweighs the rest.
 DOUBT = 6.0
 #: Characters of a block of prose, and of the prose of a page that a box with a bad mark may wrap.
 PROSE, WRAPPED = 60, 160
-NEXT_SAME, NEXT_OTHER, TREE = 0.6, 0.2, 0.4
+NEXT_SAME, NEXT_OTHER, TREE = 1.0, 0.3, 0.5
 
 
 def _bad_mark(box: Container) -> bool:
@@ -120,22 +135,76 @@ def container_scores(page: Page) -> list[float]:
     return scores
 
 
-def block_scores(page: Page) -> list[float]:
+def cues(b: Block) -> int:
+    """The cell of SHAPE that the block is in."""
+    n = len(b.text)
+    links = 0 if not b.linked else 2 if b.linked > 0.5 * n else 1
+    legal = n < 200 and ("©" in b.text or "all rights reserved" in b.text.lower())
+    cell = bisect_right(BOUNDS, n) * 3 + links
+    cell = cell * 2 + (b.text.rstrip("\"'”»)")[-1:] in (".", "!", "?", "…", "。", "！", "？"))
+    return (cell * 4 + KINDS.get(b.tag, 3)) * 2 + legal
+
+
+def _fixed_costs() -> list[float]:
+    out = []
+    for length, links, _, kind, legal in np.ndindex(*SHAPE):
+        least = BOUNDS[length - 1] if length else 0
+        score = next((w for n, w in LENGTHS if least >= n), SHORT if kind == 0 else -SHORT)
+        out.append(score - LINKS * (links == 2) - COPYRIGHT * legal)
+    return out
+
+
+FIXED_COSTS = _fixed_costs()
+
+
+def fit_costs(counts: dict[tuple[int, bool], int]) -> list[float]:
+    """Cost of each cell from how many blocks of a cell have a label: penalised logistic regression, labels weighing alike."""
+    total = [sum(n for (_, y), n in counts.items() if y == label) for label in (False, True)]
+    if not all(total):
+        return FIXED_COSTS
+    ends = np.cumsum((0, *SHAPE))
+    x = np.zeros((len(FIXED_COSTS), ends[-1] + 1))
+    for cell, where in enumerate(np.ndindex(*SHAPE)):
+        x[cell, [ends[k] + at for k, at in enumerate(where)] + [-1]] = 1.0
+    rows = sorted(counts)
+    cell, label = np.array([c for c, _ in rows]), np.array([y for _, y in rows], dtype=float)
+    weight = np.array([counts[r] * sum(total) / (2 * total[r[1]]) for r in rows])
+    start, own = np.array(FIXED_COSTS), x[cell]
+
+    def loss(w: np.ndarray) -> float:
+        z = start[cell] + own @ w
+        return float(weight @ (np.logaddexp(0, z) - label * z) + FAITH / 2 * w @ w)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(start[cell] + own @ w)))
+        slope = own.T @ (weight * (p - label)) + FAITH * w
+        step = np.linalg.solve((own * (weight * p * (1 - p))[:, None]).T @ own + FAITH * np.eye(len(w)), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return [float(z) for z in np.clip(start + x @ w, -MOST, MOST)]
+
+
+def labelled_cells(page: Page) -> list[tuple[int, bool]]:
+    """Cells of the blocks that a telling container labels."""
+    boxes = container_scores(page)
+    return [(cues(b), boxes[b.box] > 0) for b in page.blocks if boxes[b.box] >= 4.0 or boxes[b.box] <= -6.0]
+
+
+def block_scores(page: Page, costs: list[float] = FIXED_COSTS) -> list[float]:
     """Positive where content is likelier."""
     boxes = container_scores(page)
     marked = any(boxes[b.box] >= 4.0 for b in page.blocks)
     out = []
     for b in page.blocks:
-        n, score = len(b.text), boxes[b.box]
+        score = boxes[b.box]
         if score == 0.0:
             score = -OUTSIDE if marked else BODY
-        if score > -6:
-            if b.linked > 0.5 * n:
-                score -= LINKS
-            score += next((w for least, w in LENGTHS if n >= least), 0.5 if b.tag in HEADINGS else -SHORT)
-            if n < 200 and ("©" in b.text or "all rights reserved" in b.text.lower()):
-                score -= COPYRIGHT
-        out.append(score)
+        out.append(score + costs[cues(b)] if score > -6 else score)
     return out
 
 
@@ -179,56 +248,96 @@ def minimum_cut(bias: list[float], links: list[tuple[int, int, float]]) -> list[
             near[i] = {}
     left = [i for i in range(len(bias)) if label[i] is None]
     if left:
-        source, sink = -1, -2
-        room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in left} | {source: {}, sink: {}}
-        for i in left:
-            if bias[i] > 0:
-                room[source][i], room[i][source] = bias[i], 0.0
-            else:
-                room[i][sink], room[sink][i] = -bias[i], 0.0
+        place = {i: k for k, i in enumerate(left)}
+        arcs = [(place[i], place[j], w, w) for i in left for j, w in near[i].items() if i < j]
+        content = _source_side([bias[i] for i in left], arcs)
+        for i, x in zip(left, content, strict=True):
+            label[i] = x
+    return [bool(x) for x in label]
+
+
+def _source_side(bias: list[float], arcs: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow, found by blocking flows in layers."""
+    n = len(bias)
+    source, sink = n, n + 1
+    arcs = [*arcs, *((source, i, b, 0.0) if b > 0 else (i, sink, -b, 0.0) for i, b in enumerate(bias))]
+    to, room, out = [], [], [[] for _ in range(n + 2)]
+    for a, b, there, back in arcs:  # arc e and its reverse e ^ 1
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to += [b, a]
+        room += [there, back]
+    while True:
+        layer = [-1] * (n + 2)
+        layer[source] = 0
+        queue = deque([source])
+        while queue and layer[sink] < 0:
+            i = queue.popleft()
+            for e in out[i]:
+                if room[e] > 1e-9 and layer[to[e]] < 0:
+                    layer[to[e]] = layer[i] + 1
+                    queue.append(to[e])
+        if layer[sink] < 0:
+            return [x >= 0 for x in layer[:n]]
+        tried, path, i = [0] * (n + 2), [], source
         while True:
-            back, queue = {source: source}, deque([source])
-            while queue and sink not in back:
-                i = queue.popleft()
-                for j, w in room[i].items():
-                    if w > 1e-9 and j not in back:
-                        back[j] = i
-                        queue.append(j)
-            if sink not in back:
+            if i == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                i = to[path[first] ^ 1]
+                del path[first:]
+            elif tried[i] < len(out[i]):
+                e = out[i][tried[i]]
+                if room[e] > 1e-9 and layer[to[e]] == layer[i] + 1:
+                    path.append(e)
+                    i = to[e]
+                else:
+                    tried[i] += 1
+            elif i == source:
                 break
-            path, j = [], sink
-            while j != source:
-                path.append((back[j], j))
-                j = back[j]
-            flow = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= flow
-                room[b][a] = room[b].get(a, 0.0) + flow
-        for i in left:
-            label[i] = i in back
-    return [bool(x) for x in label]
+            else:
+                i = to[path.pop() ^ 1]
+                tried[i] += 1
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, costs: list[float] = FIXED_COSTS) -> str:
     page = parse(source or "")
     if not page.blocks:
         return ""
-    bias = block_scores(page) + [0.0] * len(page.boxes)
+    bias = block_scores(page, costs) + [0.0] * len(page.boxes)
     labels = minimum_cut(bias, edges(page))
     return "\n".join(b.text for b, x in zip(page.blocks, labels, strict=False) if x)
 
 
-def _main_texts(source: pa.Array) -> pa.Array:
-    return pa.array([main_text(x.as_py()) for x in source], type=pa.string())
+def _cells_of(source: pa.Array) -> pa.Array:
+    """For each page twice the cell, plus one for content, of every labelled block."""
+    return pa.array([[2 * c + y for c, y in labelled_cells(parse(x.as_py() or ""))] for x in source], type=pa.list_(pa.int64()))
+
 
+def learn_costs(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> list[float]:
+    """Costs of cells fitted on about `sample` pages; only counts of cells leave the executors."""
+    slim = pages.select(F.col(html).alias("html")).where("html is not null")
+    share = min(1.0, sample / max(1, slim.count()))
+    some = slim.where(F.pmod(F.xxhash64("html"), F.lit(1 << 31)) < int(share * (1 << 31)))
+    cells = some.select(F.explode(F.arrow_udf(_cells_of, "array<long>")("html")).alias("cell"))
+    return fit_costs({(r.cell >> 1, bool(r.cell & 1)): r["count"] for r in cells.groupBy("cell").count().collect()})
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+
+def extract(pages: DataFrame, html: str = "html", costs: list[float] = FIXED_COSTS) -> DataFrame:
     """pages without html, with text (blocks of the main text joined by newlines) and n_chars."""
+
+    def main_texts(source: pa.Array) -> pa.Array:
+        return pa.array([main_text(x.as_py(), costs) for x in source], type=pa.string())
+
     rest = [c for c in pages.columns if c.lower() not in RESULTS and c != html]
     inner = free_name([*pages.columns, *RESULTS], "_row")
-    df = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias(inner), F.col(html).alias("_html")).withColumn("text", F.arrow_udf(_main_texts, "string")("_html"))
+    df = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias(inner), F.col(html).alias("_html")).withColumn("text", F.arrow_udf(main_texts, "string")("_html"))
     return df.select(*(F.col(f"{inner}.`{c}`") for c in rest), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op5_main_text(spark, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, costs=learn_costs(pages)).select("page_id", "url", "text", "n_chars")

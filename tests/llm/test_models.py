@@ -35,6 +35,69 @@ def test_more_than_256_languages(spark):
     assert [i for i, _, lang in rows if got[i] != lang] == []
 
 
+def test_follow_the_regularised_leader_step_by_step():
+    r = random.Random(3)
+    idf = np.array([1 + (i % 7) / 4 for i in range(langid.BUCKETS)])
+    rows = []
+    for k in range(40):
+        found = sorted(r.sample(range(30), 6))
+        found = [x + 30 * (k % 3) * (r.random() < 0.8) for x in found]
+        found = sorted(set(found))
+        rows.append((np.array(found), np.array([r.randrange(1, 5) for _ in found], dtype=float), k % 3))
+    got, temperature = langid.fit(rows, 3, idf)
+
+    cases = []
+    for found, often, y in rows:  # the last value is the constant
+        x = [(1 + math.log(o)) * idf[f] for f, o in zip(found, often, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x))
+        cases.append(([(int(f), v / norm) for f, v in zip(found, x, strict=True)] + [(langid.BUCKETS, 0.1)], y))
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi = z.get((i, c), 0.0)
+        if abs(zi) <= langid.L1:
+            return 0.0
+        return -(zi - math.copysign(langid.L1, zi)) / ((langid.BETA + math.sqrt(n.get((i, c), 0.0))) / langid.ALPHA + langid.L2)
+
+    def chances(x, t=1.0):
+        logits = [sum(v * weight(i, c) for i, v in x) / t for c in range(3)]
+        e = [math.exp(v - max(logits)) for v in logits]
+        return [v / sum(e) for v in e]
+
+    train = [c for i, c in enumerate(cases) if i % 5]
+    for epoch in range(langid.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(train)):
+            x, y = train[k]
+            p = chances(x)
+            old = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            for i, v in x:
+                for c in range(3):
+                    g, at = (p[c] - (c == y)) * v, n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(at + g * g) - math.sqrt(at)) / langid.ALPHA * old[i, c]
+                    n[i, c] = at + g * g
+    want = np.zeros_like(got)
+    for i, c in z:
+        want[i, c] = weight(i, c)
+    assert np.allclose(got, want, atol=1e-9)
+    assert ((got == 0) == (want == 0)).all() and (want[sorted({i for i, _ in z})] == 0).any()
+    held = [c for i, c in enumerate(cases) if not i % 5]
+    loss = lambda t: -sum(math.log(chances(x, t)[y] + 1e-12) for x, y in held)
+    assert loss(temperature) <= min(loss(math.exp(math.log(0.5) + k * math.log(20) / 300)) for k in range(301)) + 1e-6
+
+
+def test_document_frequencies_and_blank_languages(spark):
+    texts = ["thing and other things", "und die anderen Dinge", "thing", "ça et là", "word " * 30000, "thing"]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(9, None, "a"), (8, "left out", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    seen = [set(langid.features(t).tolist()) for t in texts]
+    want = [math.log((1 + len(texts)) / (1 + sum(b in s for s in seen))) + 1 for b in range(langid.BUCKETS)]
+    assert np.allclose(model.idf, want)
+    clash = docs.withColumn("LANG_PRED", F.lit("x"))
+    got = langid.identify(clash.unionAll(clash), model).collect()
+    assert len(got) == 16 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 8
+    assert langid.identify(clash.limit(0), model).count() == 0
+
+
 def test_forward_backward_against_all_labellings():
     r = np.random.default_rng(0)
     trans = r.normal(size=(2, 2))
@@ -277,3 +340,69 @@ def test_toxicity_of_empty_tables_clashes_and_contradictions(spark):
 def test_spans_are_runs():
     p = np.array([0.1, 0.9, 0.6, 0.2, 0.7])
     assert toxicity._spans("a bb cc d ee", p) == [{"begin": 2, "end": 7, "marginal": 0.9}, {"begin": 10, "end": 12, "marginal": 0.7}]
+
+
+LONG = "A sentence of the story, which goes on for a while, as stories do, and then it ends. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "less", "want"),
+    [
+        # a short line between paragraphs of an unmarked page, a long line among short ones beside an article
+        (f"<body><p>{LONG}<p>{LONG}<p>So it<p>{LONG}<p>{LONG}</body>", 1.0, [True] * 5),
+        (f"<body><article><p>{LONG}</p></article><div><p>One<p>Two<p>{LONG * 2}<p>Three<p>Four</div></body>", 0.0, [True] + [False] * 5),
+    ],
+)
+def test_neighbours_outvote_a_block(page, less, want):
+    costs = [x - less for x in mincut.FIXED_COSTS]
+    parsed = htmlblocks.parse(page)
+    scores = mincut.block_scores(parsed, costs)
+    labels = mincut.minimum_cut(scores + [0.0] * len(parsed.boxes), mincut.edges(parsed))[: len(scores)]
+    assert labels == want and sum((s > 0) != x for s, x in zip(scores, labels, strict=True)) == 1
+
+
+def test_whole_pages_against_all_labellings():
+    r = random.Random(8)
+    for _ in range(40):
+        parts = [r.choice(["<div>", "</div>", "<article>", "</article>", "<p>"]) + r.choice(["word ", "Some words here. ", LONG]) for _ in range(6)]
+        costs = [x + r.uniform(-2, 2) for x in mincut.FIXED_COSTS]
+        page = htmlblocks.parse("<body>" + "".join(parts))
+        bias, links = mincut.block_scores(page, costs) + [0.0] * len(page.boxes), mincut.edges(page)
+        n, size = len(bias), len(page.blocks)
+        cost = lambda k: sum(abs(b) for i, b in enumerate(bias) if (b > 0) != bool(k >> i & 1)) + sum(w for a, b, w in links if (k >> a & 1) != (k >> b & 1))  # noqa: B023, E731
+        every = [(cost(k), k) for k in range(2**n)]
+        least = min(c for c, _ in every)
+        texts = {"\n".join(b.text for i, b in enumerate(page.blocks) if k >> i & 1) for c, k in every if c < least + 1e-9}
+        assert size and mincut.main_text("<body>" + "".join(parts), costs) in texts
+
+
+def test_costs_are_fitted():
+    assert mincut.fit_costs({}) == mincut.FIXED_COSTS == mincut.fit_costs({(3, True): 9})
+    line, prose = (htmlblocks.parse(f"<p>{x}</p>").blocks[0] for x in ("Short words of a story.", LONG))
+    short, long = mincut.cues(line), mincut.cues(prose)
+    counts = {(short, True): 900, (short, False): 100, (long, False): 700, (long, True): 100}
+    costs = mincut.fit_costs(counts)
+    assert costs[short] > 1 > mincut.FIXED_COSTS[short] and costs[long] < -1 < mincut.FIXED_COSTS[long]
+    assert max(map(abs, costs)) <= mincut.MOST
+    # with many blocks the penalty is nothing, and two cells have the odds of their weighted counts
+    many = mincut.fit_costs({k: 10000 * v for k, v in counts.items()})
+    assert many[short] == pytest.approx(math.log(900 * 800 / (100 * 1000)), abs=0.01)
+    assert many[long] == pytest.approx(math.log(100 * 800 / (700 * 1000)), abs=0.01)
+
+
+def test_costs_of_a_table(spark):
+    page = f"<body><nav><p>{LONG}</p></nav><article><p>Short words of it</p></article></body>"
+    pages = spark.createDataFrame([(page,), (page,), (None,), ("",)], "html string")
+    want = mincut.labelled_cells(htmlblocks.parse(page))
+    assert mincut.learn_costs(pages) == mincut.fit_costs({c: 2 for c in want}) != mincut.FIXED_COSTS
+    assert mincut.learn_costs(pages.limit(0)) == mincut.FIXED_COSTS
+
+
+def test_long_pages_take_bounded_time():
+    import time
+
+    r = random.Random(1)
+    bias = [r.uniform(-2, 2) for _ in range(20000)]
+    begun = time.time()
+    mincut.minimum_cut(bias, [(i, i + 1, 1.0) for i in range(19999)] + [(i, i // 5, 0.5) for i in range(1, 20000)])
+    assert time.time() - begun < 60
