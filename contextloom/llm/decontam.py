@@ -8,7 +8,8 @@ with an item of the class makes a candidate: the chance to miss a passage is bel
 whole copy of the median size. A candidate counts only if the document has the given share of the item's shingles, compared
 as words.
 
-Only items travel, in blocks of at most BLOCK_BYTES of text; documents are read once for each block and are never shuffled.
+Only items travel, in blocks of about BLOCK_BYTES of text, AT_ONCE blocks in one plan; documents are never shuffled. With
+more blocks, documents and what is found so far are written to the shared folder after each AT_ONCE of them.
 
 Defined results: A-Z are lower-cased; null or blank texts and items match nothing; fewer words than a shingle needs make
 one shingle, which equals only another text's whole; repeated rows are judged one by one and repeated items all named; other
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.llm.hashing import BASES, LOWER, Words, mix, slices, stretches
-from contextloom.llm.shared import free_name, table
+from contextloom.llm.shared import drop, free_name, materialize, table
 
 SHINGLE = 5
 CONTAINED = 0.8
 HASHES = 32
 BLOCK_BYTES = 4 << 20
+AT_ONCE = 8
 RESULTS = ["contaminated", "n_items", "item_ids", "containment"]
 
 
@@ -131,20 +133,27 @@ def _found_in(index):
 
 
 def find_items(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, share: float = CONTAINED, hashes: int = HASHES
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, share: float = CONTAINED, hashes: int = HASHES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """docs with contaminated, n_items, item_ids and the highest containment (0 if none)."""
     slim = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // BLOCK_BYTES))
+    blocks = max(1, -(-2 * total // block_bytes))
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
     inner = free_name([*docs.columns, *RESULTS], "_row")
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias(inner), F.col(text).alias("_text"))
-    parts = []
+    parts, sent, before = [], [], None
     for k in range(blocks):
+        if len(sent) == AT_ONCE:
+            written = materialize(df.select(inner, "_text", F.concat(*parts).alias("_known")), "decontam")
+            if before is not None:
+                drop(before)
+            for index in sent:
+                index.destroy()
+            df, before, parts, sent = written, written, [F.col("_known")], []
         block = slim.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item, r.text) for r in block], size, share, hashes))
-        df = df.withColumn(f"_found{k}", _found_in(index)("_text"))
+        sent.append(docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item, r.text) for r in block], size, share, hashes)))
+        df = df.withColumn(f"_found{k}", _found_in(sent[-1])("_text"))
         parts.append(F.col(f"_found{k}"))
     df = df.withColumn("_found", F.array_sort(F.concat(*parts)))
     return df.select(

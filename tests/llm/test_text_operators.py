@@ -222,6 +222,26 @@ def test_decontamination_against_brute_force(spark, docs):
         hit = sorted(k for k, s in want.items() if s and len(s & has) >= 0.8 * len(s))
         assert got[i].item_ids == hit and got[i].contaminated == bool(hit)
     assert decontam.find_items(docs, items.limit(0)).where("contaminated").count() == 0
+    # many blocks of items, so that what is found is written on the way
+    many = {r.doc_id: r for r in decontam.find_items(docs, items, block_bytes=80).collect()}
+    assert many == got
+
+
+def test_decontamination_of_scattered_parts_clashes_and_blanks(spark):
+    item, far = words(60, 31, 10**6), words(4000, 32, 10**6)
+    rows = [(0, None, "x"), (1, "", "x"), (2, "one two three four", "x"), (2, "one two three four", "x")]
+    for parts in (1, 2, 3):
+        size = len(item) // parts
+        text = []
+        for k in range(parts):
+            text += far[1000 * k : 1000 * k + 1000] + item[size * k : size * (k + 1)]
+        rows.append((10 + parts, " ".join(text), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Item_IDs string")
+    got = decontam.find_items(docs, spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "One two three four")], "item_id long, text string"))
+    assert sorted(got.columns) == sorted(["doc_id", "text", *decontam.RESULTS])
+    found = sorted((r.doc_id, r.item_ids) for r in got.collect())
+    assert found == [(0, []), (1, []), (2, [3]), (2, [3]), (11, [1]), (12, [1]), (13, [1])]
+    assert decontam.find_items(docs.limit(0), docs.limit(0).withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
 def test_mixing(spark, docs):
