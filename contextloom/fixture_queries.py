@@ -21,6 +21,7 @@ from contextloom.operators import vector as V
 from contextloom.plans import commands as P
 from contextloom.queries import FILES, LINES, SQL, allocate_modes, files, query, symbols, table, turns
 from contextloom.shipping import ship
+from contextloom.sources import analyzers as A
 
 
 def values(columns: str, rows: list[tuple]) -> str:
@@ -567,3 +568,42 @@ BUNDLES = [(1, '{"task": "x", "relevant_files": []}', "context"), (2, '{"from_re
 def bundle_types(spark, sf_dir):
     ship(spark)
     return P.inspect(spark.createDataFrame([r[:2] for r in BUNDLES], "id long, json string")).select("id", "bundle_type")
+
+
+# Sources in which only brackets, comments and literals tell what is declared, and the symbols that they declare.
+SOURCES = [
+    ("a.rs", "/* fn no() {} /* fn no2() {} */ */\npub struct Store<T> { a: u8 }\nimpl<T: Into<U>, U> From<U> for Store<T> where T: Clone {\n    pub async fn open(&self,\n        key: &'a str) -> Result<Vec<u8>, E> { let s = \"fn x() {\"; Ok(s) }\n}\npub(crate) const N: [u8; 2] = [1, 2];\nmod inner { pub(super) unsafe fn deep() { fn local() {} } }\n"),
+    ("b.go", "package p\nconst (\n\tA = 1 // const no = 1\n\tb, C = 2, 3\n)\ntype (\n\tS struct {\n\t\ta int\n\t}\n\tI interface{ M() }\n\tT = S\n)\nfunc (s *S) Run(a int,\n\tb string) error {\n\treturn nil\n}\n/*\nfunc no() {}\n*/\nfunc help() {}\n"),
+    ("c.cpp", "template <class T>\nclass C {\n  int get() const {\n    if (x) {\n      f(a,\n        b);\n    }\n  }\n};\nclass Fwd;\nusing V = int;\nvoid C::go(int a) {\n}\n/* int no() { */\nint add(int a) { return a; }\n"),
+    ("d.ts", "// type No = 1\nexport const f = async (\n  a: number,\n): Promise<void> => {\n};\nconst n = 3;\ntype A = string;\nclass B {\n}\nexport class B2 {\n}\n"),
+]
+DECLARED = [
+    ("a.rs", 0, "Store", "struct", "public", "public struct Store", 2, 2),
+    ("a.rs", 1, "open", "method", "public", "impl Store < T > :: pub async fn open(& self, key : & 'a str) -> Result < Vec < u8 > , E >", 4, 4),
+    ("a.rs", 2, "N", "constant", "crate", "crate const N: [u8 ; 2]", 7, 7),
+    ("a.rs", 3, "inner", "module", "private", "private mod inner", 8, 8),
+    ("a.rs", 4, "deep", "function", "private", "unsafe fn deep()", 8, 8),
+    ("b.go", 0, "A", "constant", "public", "const A", 2, 5),
+    ("b.go", 1, "b", "constant", "private", "const b", 2, 5),
+    ("b.go", 2, "C", "constant", "public", "const C", 2, 5),
+    ("b.go", 3, "S", "struct", "public", "type S struct", 6, 12),
+    ("b.go", 4, "I", "interface", "public", "type I interface", 6, 12),
+    ("b.go", 5, "Run", "method", "public", "func (s *S) Run(a int,", 13, 16),
+    ("b.go", 6, "help", "function", "private", "func help() {}", 20, 20),
+    ("c.cpp", 0, "C", "class", "public", "class C {", 2, 9),
+    ("c.cpp", 1, "get", "method", "public", "int get() const {", 3, 8),
+    ("c.cpp", 2, "V", "type_alias", "public", "using V = int;", 11, 11),
+    ("c.cpp", 3, "C::go", "method", "public", "void C::go(int a) {", 12, 13),
+    ("c.cpp", 4, "add", "function", "public", "int add(int a) { return a; }", 15, 15),
+    ("d.ts", 0, "A", "interface", "private", "type A = string;", 7, 7),
+    ("d.ts", 1, "B", "class", "private", "class B {", 8, 9),
+    ("d.ts", 2, "B2", "class", "public", "export class B2 {", 10, 11),
+    ("d.ts", 3, "f", "function", "public", "export const f = async (", 2, 5),
+]
+
+
+@query("declared_symbols", values("file, ordinal, name, kind, visibility, signature, start_line, end_line", DECLARED))
+def declared_symbols(spark, sf_dir):
+    ship(spark)
+    found = A.extract_symbols(spark.createDataFrame(SOURCES, "path string, content string"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("ordinal", "start_line", "end_line")})

@@ -9,15 +9,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.text import split_lines
-
 from contextloom.lexicon import SUMMARY_BYTES
+from contextloom.sources import outline
 
 SYMBOLS = "file string, ordinal int, name string, kind string, visibility string, signature string, start_line int, end_line int"
 
@@ -76,7 +76,7 @@ class Lines:
 
     extensions: tuple[str, ...] = ()
     patterns: list[tuple[str, re.Pattern]] = []
-    spans = True
+    literals = outline.C
 
     def visibility(self, line: str, m: re.Match) -> str | None:
         return "public"
@@ -85,12 +85,11 @@ class Lines:
         return block_or_line(text)
 
     def symbols(self, text: str) -> list[Symbol]:
-        lines, found = split_lines(text), []
-        for i, line in enumerate(lines):
+        lines, plain, found = split_lines(text), split_lines(outline.blanked(text, self.literals)), []
+        for i, line in enumerate(plain):
             for kind, pattern in self.patterns:
                 if m := pattern.match(line):
-                    end = body_end(lines, i) if self.spans else i + 1
-                    found.append(Symbol(m["name"], kind, self.visibility(line, m), line.strip().rstrip("{").strip(), i + 1, end))
+                    found.append(Symbol(m["name"], kind, self.visibility(line, m), lines[i].lstrip(), i + 1, body_end(plain, i)))
                     break
         return found
 
@@ -99,40 +98,12 @@ def _p(x: str) -> re.Pattern:
     return re.compile(x)
 
 
-class Rust(Lines):
+class Rust:
     extensions = ("rs",)
-    spans = False  # a symbol is at its keyword's line
-    patterns = [
-        (kind, _p(rf"\s*(?P<vis>pub(?:\([^)]*\))?\s+)?{words}\s+(?P<name>\w+)"))
-        for kind, words in (
-            ("function", r"(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn"),
-            ("struct", "struct"),
-            ("enum", "enum"),
-            ("trait", r"(?:unsafe\s+)?trait"),
-            ("module", "mod"),
-            ("constant", r"(?:const|static(?:\s+mut)?)"),
-        )
-    ]
-
-    def visibility(self, line: str, m: re.Match) -> str:
-        vis = (m["vis"] or "").strip()
-        return "public" if vis == "pub" else "crate" if vis == "pub(crate)" else "private"
 
     def symbols(self, text: str) -> list[Symbol]:
-        owner, depth, until, found = None, 0, 0, []
-        methods = {}
-        for i, line in enumerate(split_lines(text)):
-            m = re.match(r"\s*(?:unsafe\s+)?impl\b(?:<[^>]*>)?\s+(?:.*?\bfor\s+)?([\w:]+)", line)
-            if m and owner is None:
-                owner, until = m[1], depth
-            methods[i + 1] = owner
-            depth += line.count("{") - line.count("}")
-            if owner is not None and depth <= until and "}" in line:
-                owner = None
-        for s in super().symbols(text):
-            of = methods.get(s.start_line)
-            found.append(Symbol(s.name, "method", s.visibility, f"impl {of} :: {s.signature}", s.start_line, s.end_line) if of and s.kind == "function" else s)
-        return found
+        # a symbol is at its keyword's line
+        return [Symbol(*said, line, line) for *said, line in outline.rust(text)]
 
     def summary(self, text: str) -> str | None:
         inner = [x.strip()[3:].strip() for x in split_lines(text) if x.strip().startswith("//!")]
@@ -154,7 +125,7 @@ class Python(Lines):
         for n in nodes:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(n, ast.ClassDef) else "function"
-                found.append(Symbol(n.name, kind, "private" if n.name.startswith("_") else "public", lines[n.lineno - 1].strip().rstrip(":"), n.lineno, n.end_lineno or n.lineno))
+                found.append(Symbol(n.name, kind, "private" if n.name.startswith("_") else "public", lines[n.lineno - 1].lstrip(), n.lineno, n.end_lineno or n.lineno))
         return sorted(found, key=lambda s: s.start_line)
 
     def summary(self, text: str) -> str | None:
@@ -165,18 +136,13 @@ class Python(Lines):
         return capped(" ".join(doc.split())) if doc else leading(text, "#")
 
 
-class Go(Lines):
+class Go:
     extensions = ("go",)
-    patterns = [
-        ("method", _p(r"func\s+\([^)]*\)\s*(?P<name>\w+)")),
-        ("function", _p(r"func\s+(?P<name>\w+)")),
-        ("struct", _p(r"type\s+(?P<name>\w+)\s+struct\b")),
-        ("interface", _p(r"type\s+(?P<name>\w+)\s+interface\b")),
-        ("constant", _p(r"(?:const|var)\s+(?P<name>\w+)")),
-    ]
 
-    def visibility(self, line: str, m: re.Match) -> str:
-        return "public" if m["name"][:1].isupper() else "private"
+    def symbols(self, text: str) -> list[Symbol]:
+        lines = split_lines(text)
+        seen = lambda name: "public" if name[:1].isupper() else "private"
+        return [Symbol(name, kind, seen(name), said or lines[first - 1].lstrip(), first, last) for name, kind, said, first, last in outline.go(text)]
 
     def summary(self, text: str) -> str | None:
         return leading(text, "//")
@@ -184,6 +150,7 @@ class Go(Lines):
 
 class Script(Lines):
     extensions = ("ts", "tsx", "js", "jsx")
+    literals = outline.SCRIPT
     patterns = [
         (kind, _p(rf"\s*(?P<export>export\s+)?(?:default\s+)?(?:declare\s+)?{words}"))
         for kind, words in (
@@ -191,8 +158,6 @@ class Script(Lines):
             ("class", r"(?:abstract\s+)?class\s+(?P<name>[\w$]+)"),
             ("interface", r"(?:interface|type)\s+(?P<name>[\w$]+)"),
             ("enum", r"(?:const\s+)?enum\s+(?P<name>[\w$]+)"),
-            ("function", r"(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>"),
-            ("constant", r"const\s+(?P<name>[\w$]+)"),
         )
     ]
 
@@ -200,8 +165,10 @@ class Script(Lines):
         return "public" if m["export"] else "private"
 
     def symbols(self, text: str) -> list[Symbol]:
+        lines, plain = split_lines(text), split_lines(outline.blanked(text, self.literals))
+        arrows = [Symbol(name, "function", "public" if out else "private", lines[i - 1].lstrip(), i, body_end(plain, i - 1)) for name, out, i in outline.script(text)]
         best: dict[str, Symbol] = {}
-        for s in super().symbols(text):
+        for s in sorted([*super().symbols(text), *arrows], key=lambda s: s.start_line):
             if s.name not in best or (s.visibility == "public" and best[s.name].visibility != "public"):
                 best[s.name] = s
         return [best[n] for n in sorted(best)]
@@ -210,13 +177,24 @@ class Script(Lines):
 class Cpp(Lines):
     extensions = ("cpp", "cc", "cxx", "h", "hpp", "hxx")
     patterns = [
-        ("class", _p(r"\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<name>\w+)[^;]*$")),
-        ("struct", _p(r"\s*(?:typedef\s+)?struct\s+(?P<name>\w+)[^;]*$")),
-        ("enum", _p(r"\s*enum\s+(?:class\s+)?(?P<name>\w+)")),
+        ("type_alias", _p(r"\s*typedef\s+[^(;]*?\b(?P<name>\w+)\s*;")),
+        ("type_alias", _p(r"\s*(?:template\s*<[^>]*>\s*)?using\s+(?P<name>\w+)\s*=")),
+        ("enum", _p(r"\s*enum\s+(?:class\s+|struct\s+)?(?P<name>\w+)[^;()]*(?:\{.*)?$")),
+        ("class", _p(r"\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<name>\w+)(?:[^;()]*|[^;()]*\{.*)$")),
+        ("struct", _p(r"\s*(?:template\s*<[^>]*>\s*)?(?:typedef\s+)?struct\s+(?P<name>\w+)(?:[^;()]*|[^;()]*\{.*)$")),
         ("module", _p(r"\s*namespace\s+(?P<name>\w+)")),
-        ("function", _p(r"[\w:<>,*&~\s]+?\s[*&]*(?P<name>(?:\w+::)*~?\w+)\s*\([^;]*$")),
+        ("function", _p(r"\s*(?!(?:return|else|new|throw|case|delete|goto|do|using|typedef)\b)[\w:<>,*&~\s]*?(?:\s[*&]*|^|[*&])(?P<name>(?:\w+::)*~?\w+)\s*\((?:[^;]*|[^;{]*\{.*)$")),
     ]
 
+    def symbols(self, text: str) -> list[Symbol]:
+        found = [s for s in super().symbols(text) if s.kind != "function" or s.name not in ("if", "for", "while", "switch", "catch", "return", "sizeof", "defined")]
+        boxes = [(s.start_line, s.end_line) for s in found if s.kind in ("class", "struct")]
+        own = lambda s: s.kind == "function" and ("::" in s.name or any(a < s.start_line <= b for a, b in boxes))
+        bodies = [(s.start_line, s.end_line) for s in found if s.kind == "function"]
+        # what looks like a head within a body is a call
+        outer = [s for s in found if s.kind != "function" or not any(a < s.start_line <= b for a, b in bodies)]
+        return [replace(s, kind="method") if own(s) else s for s in outer]
+
 
 class Elixir(Lines):
     extensions = ("ex", "exs")
@@ -244,7 +222,7 @@ class Elixir(Lines):
                     seen.add(m["name"] if kind == "function" else None)
                     indent = len(line) - len(line.lstrip())
                     end = next((k + 1 for k in range(i + 1, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) == indent), i + 1)
-                    found.append(Symbol(m["name"], kind, self.visibility(line, m), re.sub(r"\s+do\s*$", "", line.strip()), i + 1, end if line.rstrip().endswith("do") else i + 1))
+                    found.append(Symbol(m["name"], kind, self.visibility(line, m), line.lstrip(), i + 1, end if line.rstrip().endswith("do") else i + 1))
                     break
         return found
 

@@ -79,3 +79,24 @@ def test_other_analyzers():
     cpp = A.Cpp().symbols("namespace n {\nclass C {\n};\nint add(int a) {\n  return a;\n}\n}\n")
     assert [(s.name, s.kind) for s in cpp] == [("n", "module"), ("C", "class"), ("add", "function")]
     assert A.analyzer_for("x/Y.AS").extensions == ("as",) and A.analyzer_for("none") is None
+
+
+def test_symbols_by_brackets():
+    rust = lambda text: [(s.name, s.kind, s.visibility, s.start_line) for s in A.Rust().symbols(text)]
+    assert rust("trait T { fn no(&self) {} }\nimpl Drop for X {\n  fn drop(&mut self) {}\n}\n") == [("T", "trait", "private", 1), ("drop", "method", "private", 3)]
+    assert rust('#[cfg(a = "}")]\npub const fn f<const N: usize>(a: [u8; N]) {}\nuse a::{b, c};\nextern "C" { fn no(); }\nstatic mut X: char = \'{\';\n') == [("f", "function", "public", 2), ("X", "constant", "private", 5)]
+    assert rust("macro_rules! m { () => { fn no() {} } }\nm!(fn no2() {});\nfn yes() {}") == [("yes", "function", "private", 3)]
+    assert rust("fn open( {") == rust("") == rust("/* fn a() {}") == []
+    assert A.Rust().symbols("fn f(a: &'static str, b: fn(u8) -> u8) where u8: Copy {}")[0].signature == "fn f(a : & 'static str, b : fn (u8) -> u8)"
+    go = lambda text: [(s.name, s.kind, s.start_line, s.end_line) for s in A.Go().symbols(text)]
+    assert go("var a, b = 1,\n\t2\nfunc Map[T any](x T) T {\n\treturn x\n}\ntype G[T any] struct{ x T }\ntype N int\n") == [("a", "constant", 1, 2), ("b", "constant", 1, 2), ("Map", "function", 3, 5), ("G", "struct", 6, 6)]
+    assert go("var s = `\nfunc no() {}\n`\nconst (") == [("s", "constant", 1, 1)] and go("func") == go("") == []
+    assert [s.name for s in A.Script().symbols("const a = b;\nlet c = x => x\nvar d = `\nclass No {}\n`\n")] == ["c"]
+    cpp = A.Cpp().symbols("void f() {\n  if (a) {\n    g(a,\n      b);\n  }\n}\n")
+    assert [(s.name, s.kind, s.start_line, s.end_line) for s in cpp] == [("f", "function", 1, 6)]
+
+
+def test_declared_symbols(spark):
+    from contextloom.fixture_queries import DECLARED, declared_symbols
+
+    assert sorted(map(tuple, declared_symbols(spark, "").collect())) == sorted(DECLARED)
