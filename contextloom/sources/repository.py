@@ -11,16 +11,19 @@ import os
 import re
 import subprocess
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextloom.functions.text import split_lines
-
 from contextloom.lexicon import LOGGED_COMMITS, MAX_FILE_BYTES, SKIPPED_EXTENSIONS, SKIPPED_FOLDERS
 
 FILES = "path string, content string, estimated_tokens long"
+#: Bytes of a commit's files that a task holds at a time; a larger file goes alone.
+BLOB_BYTES = 16 << 20
 
 
 class IgnoreRules:
@@ -32,11 +35,14 @@ class IgnoreRules:
     def add(self, folder: str, text: str) -> None:
         for line in split_lines(text):
             rule = line.rstrip()
+            if rule.endswith("\\") and rule != line:  # an escaped space at the end
+                rule += " "
             if not rule or rule.startswith("#"):
                 continue
             keep, rule = rule.startswith("!"), rule.removeprefix("!")
             only_folder, rule = rule.endswith("/"), rule.rstrip("/")
             anchored, rule = "/" in rule, rule.lstrip("/")
+            rule = re.sub(r"\\(.)", lambda m: f"[{m[1]}]" if m[1] in "*?[" else m[1], rule)
             parts = ["(?:.*/)?" if p == "**" else fnmatch.translate(p).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*") for p in rule.split("/")]
             body = "/".join(parts).replace("(?:.*/)?/", "(?:.*/)?")
             self.rules.append((folder, re.compile(body if anchored else f"(?:.*/)?{body}"), keep, only_folder))
@@ -112,18 +118,44 @@ def commit_log(spark: SparkSession, root: str, commits: int = LOGGED_COMMITS) ->
 
 
 def tree(spark: SparkSession, root: str, ref: str) -> DataFrame:
-    """(path, content) of the text files of a commit that are not empty."""
-    rows = []
-    for name in git(root, "ls-tree", "-r", "-z", "--name-only", ref).split("\0"):
-        if name:
-            raw = subprocess.run(["git", "-C", root, "show", f"{ref}:{name}"], capture_output=True, check=True).stdout
-            try:
-                text = raw.decode()
-            except UnicodeDecodeError:
-                continue
-            if text and "\0" not in text[:1024]:
-                rows.append((name, text))
-    return spark.createDataFrame(rows, "path string, content string")
+    """(path, content) of the text files of a commit that are not empty.
+
+    Only paths and ids pass the driver; executors ask one git process a task for the contents, so root must be a folder they
+    share, as for scan.
+    """
+    listed = [x.split("\t", 1) for x in git(root, "ls-tree", "-r", "-z", ref).split("\0") if x]
+    rows = [(name, head.split()[2]) for head, name in listed if head.split()[1] == "blob"]
+    blobs = spark.createDataFrame(rows, "path string, id string")
+    return blobs.mapInPandas(_read_blobs(root), "path string, content string")
+
+
+def _read_blobs(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        try:
+            for pdf in batches:
+                rows, held = [], 0
+                for name, blob in pdf[["path", "id"]].itertuples(index=False):
+                    asked.stdin.write(f"{blob}\n".encode())
+                    asked.stdin.flush()
+                    size = int(asked.stdout.readline().split()[2])
+                    raw = asked.stdout.read(size + 1)[:-1]  # a newline follows each object
+                    try:
+                        text = raw.decode()
+                    except UnicodeDecodeError:
+                        continue
+                    if text and "\0" not in text[:1024]:
+                        rows.append((name, text))
+                        held += size
+                    if held > BLOB_BYTES:
+                        yield pd.DataFrame(rows, columns=["path", "content"])
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["path", "content"])
+        finally:
+            asked.stdin.close()
+            asked.wait()
+
+    return run
 
 
 Dependency = tuple[str, str | None, list[str]]

@@ -100,3 +100,21 @@ def test_declared_symbols(spark):
     from contextloom.fixture_queries import DECLARED, declared_symbols
 
     assert sorted(map(tuple, declared_symbols(spark, "").collect())) == sorted(DECLARED)
+
+
+def test_escaped_ignore_rules():
+    rules = R.IgnoreRules()
+    rules.add("", "#no\n\\#x\n\\!y\na\\*b\nend\\ \n*.log\n!keep.log\n")
+    assert [p for p in ("no", "#x", "!y", "a*b", "acb", "end ", "end", "d/z.log", "keep.log") if rules.ignored(p, False)] == ["#x", "!y", "a*b", "end ", "d/z.log"]
+
+
+def test_tree_of_odd_files(spark, repo):
+    ship(spark)
+    (repo / "empty").write_text("")
+    (repo / "no end").write_bytes("ä\nb".encode())
+    (repo / "latin").write_bytes(b"\xe4")
+    git = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    git("add", "-A")
+    git("commit", "-qm", "three")
+    got = {r.path: r.content for r in R.tree(spark, str(repo), "HEAD").collect()}
+    assert got["no end"] == "ä\nb" and not got.keys() & {"empty", "latin", "raw.bin", "secret.log"}
