@@ -39,6 +39,8 @@ from contextloom.llm.hashing import BASES, Words, mix, slices, stretches
 from contextloom.llm.shared import drop, free_name, materialize, table
 
 SHINGLE = 4
+#: Columns of a node whose whole set is to be read.
+NODE = ("doc", "rep", "n", "c1", "c2", "rows")
 PERCENT = 85
 FREQUENT = 32
 GROUP = 5
@@ -48,6 +50,8 @@ HELD = 30
 PAIRED = 32
 #: Frequent tokens are sent to all executors up to so many (8 bytes each), and joined beyond.
 SENT_TOKENS = 2_000_000
+#: Documents whose whole sets are read are sent to all executors up to so many (40 bytes each), and joined beyond.
+SENT_NODES = 1_000_000
 
 
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -135,20 +139,54 @@ def _sets(size: int):
     return run
 
 
+def _known_sets(size: int, sent):
+    """mapInArrow function: whole sets of the documents (doc, text) that are nodes of a broadcast (rep, n, c1, c2, doc), by rep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, n, c1, c2, node = sent.value
+        for batch in batches:
+            doc = batch.column("doc").to_numpy()
+            lo, hi = np.searchsorted(rep, doc, "left"), np.searchsorted(rep, doc, "right")
+            rows = np.flatnonzero(hi > lo)
+            if not len(rows):
+                continue
+            found = []
+            for i, tokens in shingle_sets(batch.column("text").take(pa.array(rows)), size):
+                sums = (len(tokens), *set_sums(tokens))
+                found += [(node[k], n[k], tokens) for k in range(lo[rows[i]], hi[rows[i]]) if (n[k], c1[k], c2[k]) == sums]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), _lists([x[2] for x in found])], names=["doc", "n", "tokens"]
+            )
+
+    return run
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(doc, n, tokens) of nodes (doc, rep, n, c1, c2), each node once."""
-    own = docs.withColumnRenamed("doc", "rep").join(nodes, "rep")
-    own = own.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "doc", "h"])
-    return own.select("doc", "n", "c1", "c2", "text").mapInArrow(_sets(size), "doc long, n int, tokens array<long>")
+    """(doc, n, tokens) of nodes (doc, rep, n, c1, c2, rows), each node once. Up to SENT_NODES nodes go to the texts, which then
+    stay where they are; with more, texts are joined."""
+    wanted = materialize(nodes, "wanted")
+    n = wanted.count()
+    if n > SENT_NODES:
+        drop(wanted)
+        own = docs.withColumnRenamed("doc", "rep").join(nodes, "rep").select("doc", "n", "c1", "c2", "text")
+        return own.mapInArrow(_sets(size), "doc long, n int, tokens array<long>").dropDuplicates(["doc"])
+    known = wanted.toPandas().sort_values("rep")
+    drop(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy(dtype=np.int64) for c in ("rep", "n", "c1", "c2", "doc")))
+    out = docs.mapInArrow(_known_sets(size, sent), "doc long, n int, tokens array<long>")
+    return out.dropDuplicates(["doc"]) if n and known["rows"].max() > 1 else out
 
 
 def _frequent_of(lists: pa.Array, known: np.ndarray) -> pa.Array:
-    rows = []
-    for x in lists:
-        tokens = np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) if x.is_valid else np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-        rows.append(tokens[known[at] == tokens] if len(known) else tokens[:0])
-    return _lists(rows)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    hit = np.zeros(len(tokens), dtype=bool)
+    if len(known):
+        hit = known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+    upto = np.concatenate([[0], np.cumsum(hit)])[ends].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(tokens[hit], type=pa.int64()))
 
 
 def mark(base: DataFrame, frequent: DataFrame, sent_tokens: int) -> DataFrame:
@@ -202,19 +240,18 @@ def index_keys(docs: DataFrame, reps: DataFrame, size: int, percent: int, freque
     need = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1
     count = lambda df: df.select(F.explode("tokens").alias("token")).groupBy("token").count().where(f"count > {frequent}").select("token")
     common = materialize(count(base), "frequent")
-    marked = materialize(mark(base, common, sent_tokens), "marked")
     is_short = F.size("tokens") - F.size("often") < need
-    short = materialize(marked.where(is_short).select("doc"), "short")
+    short = materialize(mark(base, common, sent_tokens).where(is_short).select("doc"), "short")
     whole = None
-    while short.limit(1).count():
-        more = full_sets(docs, reps.join(short, "doc", "left_semi").select("doc", "rep", "n", "c1", "c2"), size)
+    while not short.isEmpty():
+        more = full_sets(docs, reps.join(short, "doc", "left_semi").select(*NODE), size)
         old, whole = (whole, common), materialize(more if whole is None else whole.unionByName(more), "whole")
         common = materialize(common.unionByName(count(whole)).distinct(), "frequent")
-        for done in (marked, short, *old):
+        for done in (short, *old):
             if done is not None:
                 drop(done)
-        marked = materialize(mark(base, common, sent_tokens), "marked")
-        short = materialize(marked.where(is_short).select("doc").join(whole, "doc", "left_anti"), "short")
+        short = materialize(mark(base, common, sent_tokens).where(is_short).select("doc").join(whole.select("doc"), "doc", "left_anti"), "short")
+    marked = materialize(mark(base, common, sent_tokens), "marked")
     rare = F.slice(F.array_except("tokens", "often"), 1, need).alias("first")
     single, sets, pairs = marked.select("doc", "n", rare), None, None
     if whole is not None:
@@ -244,7 +281,7 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
     both = both.where(100 * most.cast("long") >= percent * (F.col("na") + F.col("nb") - most).cast("long"))
     likely = materialize(both.select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("doc")).unionByName(likely.select(F.col("b").alias("doc"))).distinct()
-    sets = materialize(full_sets(docs, reps.join(ids, "doc", "left_semi").select("doc", "rep", "n", "c1", "c2"), size), "sets")
+    sets = materialize(full_sets(docs, reps.join(ids, "doc", "left_semi").select(*NODE), size), "sets")
     out = materialize(counted(likely, sets).where(_links(percent)).select("a", "b"), "linked")
     drop(sets)
     drop(likely)
@@ -360,8 +397,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = made.where("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
     nodes = nodes.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(*same)))
     nodes = materialize(nodes.select(*same, "rep", F.when(F.col("k") == 1, F.col("rep")).otherwise(F.xxhash64(*same)).alias("node")), "nodes")
-    reps = made.withColumnRenamed("doc", "rep").join(nodes, ["rep", *same]).dropDuplicates(["rep", *same])
-    reps = materialize(reps.select(F.col("node").alias("doc"), "rep", *same, "sketch"), "reps")
+    reps = made.withColumnRenamed("doc", "rep").join(nodes, ["rep", *same]).groupBy("rep", *same, "node")
+    reps = reps.agg(F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    reps = materialize(reps.select(F.col("node").alias("doc"), "rep", *same, "sketch", "rows"), "reps")
     own = materialize(made.select("doc", *same), "own")
     drop(made)
     single, pairs, sets = index_keys(slim, reps, size, percent, frequent, sent_tokens)

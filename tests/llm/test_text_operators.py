@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,23 @@ def test_jaccard_divides_long_lists(spark, monkeypatch):
     assert 2 < len({c for _, c in got.values()}) < 100
 
 
+def test_whole_sets_leave_texts_in_place(spark, monkeypatch):
+    """Sets of some documents, without an exchange of all texts; by a join beyond a bound, with the same result."""
+    a, b = " ".join(words(60, 31)), " ".join(words(60, 32))
+    docs = materialize(spark.createDataFrame([(1, a), (2, b), (2, b), (2, a), (3, a), (4, None), (5, "")], "doc long, text string"), "test")
+    sets = {t: tokens for t, (_, tokens) in zip((a, b), jaccard.shingle_sets(pa.array([a, b]), 4), strict=True)}
+    node = lambda doc, rep, t, rows: (doc, rep, len(sets[t]), *jaccard.set_sums(sets[t]), rows)
+    columns = "doc long, rep long, n int, c1 long, c2 long, rows long"
+    for nodes in ([node(1, 1, a, 1), node(77, 2, a, 1)], [node(1, 1, a, 1), node(77, 2, a, 1), node(2, 2, b, 2)], []):
+        for sent in (0, 100):
+            monkeypatch.setattr(jaccard, "SENT_NODES", sent, raising=False)
+            found = jaccard.full_sets(docs, spark.createDataFrame(nodes, columns), 4)
+            got = sorted((r.doc, r.n, sorted(r.tokens)) for r in found.collect())
+            assert got == sorted((x[0], x[2], sorted((sets[a] if x[3:5] == jaccard.set_sums(sets[a]) else sets[b]).tolist())) for x in nodes)
+        if all(x[-1] == 1 for x in nodes):
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     a, b, c = (" ".join(words(60, k)) for k in (21, 22, 23))
     rows = [(5, a + " x"), (5, b + " y"), (5, b + " y"), (1, a), (2, b), (9, c), (9, c), (7, c + " z"), (8, "")]
