@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.llm.shared import drop, materialize
 
+#: Links and documents in links up to so many (16 bytes each) are joined on the driver in one step, more by rounds of queries.
+HELD_LINKS = 500_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, in order, and the smallest document that links a-b lead to from each)."""
+    docs, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(docs))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        if not apart.any():
+            return docs, docs[label]
+        # labels are roots here: each takes the least that one of its links sees, then all labels go on to their roots
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
 
 def components(links: DataFrame) -> DataFrame:
     """(doc, comp) for every document in links (a, b), as a table: the smallest document that links lead to.
@@ -25,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(hook, F.col("comp") == F.col("root")).select("doc", F.least("to", "lower").alias("comp"), (F.least("to", "lower") < F.col("comp")).alias("moved"))
         new = materialize(step, "labels")
         drop(labels)
-        if not new.where("moved").limit(1).count():
+        if new.where("moved").isEmpty():
             drop(both)
             return new
         labels = new
@@ -36,6 +57,8 @@ class Labels:
 
     def __init__(self) -> None:
         self.table: DataFrame | None = None
+        #: the table's (doc, comp) while there are at most HELD_LINKS of them and of new links together, else None
+        self.held: tuple[np.ndarray, np.ndarray] | None = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
     def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
         """df with the component of the documents in column: the documents themselves, where nothing links them."""
@@ -45,9 +68,26 @@ class Labels:
         return df.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
     def add(self, links: DataFrame) -> None:
-        """Take links (a, b) in."""
+        """Take links (a, b) in; they are read twice."""
+        n = links.count()
+        if not n:
+            return
+        if self.held is None or n + len(self.held[0]) > HELD_LINKS:
+            self.held = None
+            self._add_by_queries(links)
+            return
+        new = links.select("a", "b").toPandas()
+        sides = (np.concatenate([new[c].to_numpy(dtype=np.int64), old]) for c, old in zip("ab", self.held, strict=True))
+        self.held = least_labels(*sides)
+        table = pa.table(dict(zip(("doc", "comp"), map(pa.array, self.held), strict=True)))
+        labels = materialize(links.sparkSession.createDataFrame(table), "components")
+        if self.table is not None:
+            drop(self.table)
+        self.table = labels
+
+    def _add_by_queries(self, links: DataFrame) -> None:
         new = materialize(self.of(self.of(links.select("a", "b"), "a", "x"), "b", "y").where("x <> y").distinct(), "new")
-        if new.limit(1).count():
+        if not new.isEmpty():
             joined = components(new.select(F.col("x").alias("a"), F.col("y").alias("b")))
             every = new.select(F.col("a").alias("doc"), F.col("x").alias("old")).unionByName(new.select(F.col("b").alias("doc"), F.col("y").alias("old")))
             if self.table is not None:

@@ -344,7 +344,8 @@ def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int)
         kept = kept.where("lo < hi and docs > 1 and (meet is null or meet > 0)").withColumn("brief", F.coalesce("meet", F.col("docs") * F.col("docs")) <= PAIRED * PAIRED)
         mixed = materialize(now.join(kept.select("key", "brief", "head"), "key"), "mixed")
         drop(lists)
-        if not mixed.limit(1).count():
+        ask = mixed.agg(F.max("brief").alias("brief"), F.min("brief").alias("only")).first()
+        if ask["brief"] is None:
             drop(mixed)
             return
         brief = mixed.where("brief")
@@ -352,7 +353,11 @@ def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int)
         pair = brief.join(other, "key").where("doc < doc2 and comp <> comp2 and (s = 0 or (least(n, n2) = s and greatest(n, n2) = l))")
         pair = pair.where(_in_reach(F.col("n2"), F.col("n"), F.col("rare"), percent) & _in_reach(F.col("n"), F.col("n2"), F.col("rare2"), percent))
         pair = pair.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-        labels.take(materialize(counted(pair, plain).where(_links(percent)).select("a", "b"), "linked"))
+        if ask["brief"]:
+            labels.take(materialize(counted(pair, plain).where(_links(percent)).select("a", "b"), "linked"))
+        if ask["only"]:
+            drop(mixed)
+            return
         long = mixed.where("not brief")
         stars = long.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
         at = lambda least: 100 * F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))
@@ -406,7 +411,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = Labels()
     several = own.where("n > 0").groupBy("doc").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo < hi").select("doc")
     several = own.where("n > 0").join(several, "doc", "left_semi").distinct().join(nodes.select(*same, "node"), same).select("doc", "node")
-    labels.add(several.join(several.groupBy("doc").agg(F.min("node").alias("a")), "doc").select("a", F.col("node").alias("b")))
+    several = several.join(several.groupBy("doc").agg(F.min("node").alias("a")), "doc").select("a", F.col("node").alias("b"))
+    labels.take(materialize(several.where("a <> b"), "several"))
     stars = single.where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     labels.take(linked(stars, slim, reps, size, percent))
     if pairs is not None:

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contextloom.llm import decontam, jaccard, mixing, quality, substrings
+from contextloom.llm import components, decontam, jaccard, mixing, quality, substrings
+from contextloom.llm.components import Labels
 from contextloom.llm.shared import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,6 +189,42 @@ def test_whole_sets_leave_texts_in_place(spark, monkeypatch):
             assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_labels_by_queries_and_on_the_driver(spark, monkeypatch):
+    r = random.Random(5)
+    chain = [(k, k + 1) for k in range(-40, 60)]
+    r.shuffle(chain)
+    parts = [chain[:50], [], [(500, 500)], chain[50:] + [(200, 300), (300, 100)], [(r.randrange(400, 480), r.randrange(400, 480)) for _ in range(60)]]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in sum(parts, []):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    asked = spark.range(-50, 600).withColumnRenamed("id", "doc")
+    for held in (70, 10**6):
+        monkeypatch.setattr(components, "HELD_LINKS", held, raising=False)
+        labels = Labels()
+        for part in parts:
+            labels.take(materialize(spark.createDataFrame(part, "a long, b long"), "test"))
+        assert {x.doc: x.comp for x in labels.of(asked, "doc", "comp").collect()} == {x: find(x) for x in range(-50, 600)}
+        assert (labels.held is None) == (held < 10**6)
+
+
+def test_jaccard_makes_few_tables(spark, monkeypatch):
+    """Every table is a query or more, whose plans and threads stay in the driver's memory for a while."""
+    made = []
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    df = materialize(spark.createDataFrame(list(enumerate(family())), "doc_id long, text string"), "test")
+    jaccard.link_documents(df, frequent=6).count()
+    assert len(made) <= 45, made  # 58 with rounds of queries for every few links
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     a, b, c = (" ".join(words(60, k)) for k in (21, 22, 23))
     rows = [(5, a + " x"), (5, b + " y"), (5, b + " y"), (1, a), (2, b), (9, c), (9, c), (7, c + " z"), (8, "")]
