@@ -58,6 +58,23 @@ def test_stages_over_odd_rows(spark):
                     assert 2 not in kept and {0, 1, 5, 6, 7, 8, 9} <= kept
 
 
+def test_near_duplicates_make_few_tables(spark, monkeypatch):
+    """A group of near copies: the stage keeps one, without dozens of tables that fill the driver's memory with queries."""
+    import random
+
+    from contextloom.llm import components, jaccard
+    from contextloom.llm.shared import materialize
+
+    r, made = random.Random(7), []
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    near = lambda k: " ".join(f"own{k}" if i == 2 * k else w for i, w in enumerate(base))
+    docs = materialize(spark.createDataFrame([(k, near(k), None, None, 0, None, None, k) for k in range(60)], DOCS), "test")
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    assert [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
+    assert len(made) <= 38, made  # 43 with rounds of queries for every few links
+
+
 def test_run_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
