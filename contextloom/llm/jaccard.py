@@ -28,10 +28,11 @@ are left out (keep_first keeps them); a very long text is one set of any size, a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextloom.llm.components import Labels
@@ -48,12 +49,30 @@ GROUP = 5
 HELD = 30
 #: Lists of up to so many documents are compared pair by pair, longer ones are divided.
 PAIRED = 32
+#: From the second level on, long lists of one head are compared in one task if they have up to so many documents and tokens.
+TOGETHER = 2_000
+TOGETHER_TOKENS = 1_000_000
+#: Texts and sets go to Python so many at a time; the buffers of a batch are outside the JVM's heap, up to thrice its size.
+BATCH_ROWS = 1_000
 #: Frequent tokens are sent to all executors up to so many (8 bytes each), and joined beyond.
 SENT_TOKENS = 2_000_000
 #: Documents whose whole sets are read are sent to all executors up to so many (40 bytes each), and joined beyond.
 SENT_NODES = 1_000_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside send at most BATCH_ROWS rows to Python at a time; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct tokens) of each text; A-Z lower-cased."""
     for at, to, data, offsets in slices(batch_text):
@@ -298,6 +317,31 @@ def _links(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
+def _together(percent: int):
+    """applyInArrow function: of the documents (doc, comp, tokens) of a group, links (a, b) that join all components that links join."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        doc, sets = group.column("doc").to_numpy(), group.column("tokens").combine_chunks()
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(n) - n
+        tokens = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int32)
+        label = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+        held, found = np.zeros(int(tokens.max()) + 1, dtype=bool), []
+        for i in range(len(doc) - 1):
+            lo = starts[i + 1]
+            held[tokens[starts[i] : lo]] = True
+            both = np.add.reduceat(held[tokens[lo:]], starts[i + 1 :] - lo, dtype=np.int64)
+            held[tokens[starts[i] : lo]] = False
+            for j in i + 1 + np.flatnonzero(100 * both >= percent * (n[i] + n[i + 1 :] - both)):
+                if label[i] != label[j]:
+                    found.append((doc[i], doc[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
 def split_by_size(now: DataFrame, percent: int) -> DataFrame:
     """Lists (key, doc, n, rare, comp) as lists for two sizes (s, l) each, of the documents of these sizes that can link so.
 
@@ -329,6 +373,10 @@ def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int)
     percent go on without it, with a rim of those above it: once in their old list, and after that in lists of one more token
     of a prefix of their frequent tokens. From the second level on, lists are for two sizes each. New lists have only
     documents that come after h in the order of heads, so this ends.
+
+    Where the original is missing, every head lacks tokens that the others share, and a level may take little but the head
+    out of a list. So from the second level on, the documents of all lists of a head are compared in one task if they are up
+    to TOGETHER and have up to TOGETHER_TOKENS tokens; only more of them are divided further.
     """
     step, level = 100 - percent, 0
     small = sets.select("doc", "n", "rare")
@@ -359,6 +407,22 @@ def link_lists(lists: DataFrame, sets: DataFrame, labels: Labels, percent: int)
             drop(mixed)
             return
         long = mixed.where("not brief")
+        if level > 1:
+            crowd = materialize(long.select("head", "doc", "n", "comp").distinct(), "crowd")
+            sizes = crowd.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+            fits = materialize(sizes.select("head", ((F.col("docs") <= TOGETHER) & (F.col("tokens") <= TOGETHER_TOKENS)).alias("fits")), "fits")
+            some = fits.agg(F.max("fits").alias("any"), F.min("fits").alias("all")).first()
+            if some["any"]:
+                whole = crowd.join(fits.where("fits"), "head").join(sets.select("doc", "tokens"), "doc").select("head", "doc", "comp", "tokens")
+                labels.take(materialize(whole.groupBy("head").applyInArrow(_together(percent), "a long, b long"), "linked"))
+                rest = materialize(long.join(fits.where("fits"), "head", "left_anti"), "mixed")
+                drop(mixed)
+                mixed = long = rest
+            drop(crowd)
+            drop(fits)
+            if some["all"]:
+                drop(mixed)
+                return
         stars = long.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
         at = lambda least: 100 * F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))
         kind = F.when(at(percent), "linked").when(at(HELD + step), "near").when(at(HELD), "inner").otherwise("rim")
@@ -395,6 +459,11 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, n_shingles, component) for every row of docs with an id."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
+    with small_batches(docs.sparkSession):
+        return _link(docs, doc_id, text, size, percent, frequent, sent_tokens)
+
+
+def _link(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, frequent: int, sent_tokens: int) -> DataFrame:
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     made = materialize(slim.mapInArrow(_sketches(size, percent), "doc long, n int, c1 long, c2 long, sketch array<long>"), "sketches")
     same = ["n", "c1", "c2"]

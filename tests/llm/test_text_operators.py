@@ -225,6 +225,50 @@ def test_jaccard_makes_few_tables(spark, monkeypatch):
     assert len(made) <= 45, made  # 58 with rounds of queries for every few links
 
 
+def orphans(n=40):
+    """Copies of one size whose original is missing, each with two edits of its own: heads lack what the others share."""
+    out = []
+    for k in range(n):
+        r, ws = random.Random(900 + k), [f"w{i}" for i in range(103)]
+        for i in r.sample(range(25), 2):
+            ws[4 * i + r.randrange(2)] = f"own{k}x{i}"
+        out.append(" ".join(ws))
+    return out
+
+
+def test_jaccard_of_copies_without_their_original(spark, monkeypatch):
+    made = []
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(orphans())]
+    df = materialize(spark.createDataFrame(rows, DOCS), "test")
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard.link_documents(df, frequent=6).collect()}
+    assert got == brute_components(rows)
+    assert made.count("mixed") <= 4  # a level for nearly every copy before
+
+
+def test_jaccard_compares_a_group_in_one_task(spark, monkeypatch):
+    """Small groups are compared whole from the second level on, larger ones divided, some of both; the result is the same."""
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(family(60))]
+    df, want = materialize(spark.createDataFrame(rows, DOCS), "test"), brute_components(rows)
+    for together in (0, 12):
+        monkeypatch.setattr(jaccard, "TOGETHER", together, raising=False)
+        assert {r.doc: (r.n_shingles, r.component) for r in jaccard.link_documents(df, frequent=6).collect()} == want
+    tokens = [list(x) for x in (range(20), range(1, 21), range(2, 22), range(50, 70), [50], range(5, 21))]
+    group = pa.table({"doc": pa.array(range(6)), "comp": pa.array([0, 1, 2, 3, 4, 2]), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+    assert jaccard._together(85)(group).to_pylist() == [{"a": 0, "b": 1}, {"a": 1, "b": 2}]
+
+
+def test_jaccard_sends_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: seen.append(int(spark.conf.get(key))) or materialize(df, name))
+    before = spark.conf.get(key)
+    jaccard.link_documents(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")).count()
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     a, b, c = (" ".join(words(60, k)) for k in (21, 22, 23))
     rows = [(5, a + " x"), (5, b + " y"), (5, b + " y"), (1, a), (2, b), (9, c), (9, c), (7, c + " z"), (8, "")]
