@@ -28,16 +28,15 @@ are left out (keep_first keeps them); a very long text is one set of any size, a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextloom.llm.components import Labels
 from contextloom.llm.hashing import BASES, Words, mix, slices, stretches
-from contextloom.llm.shared import drop, free_name, materialize, table
+from contextloom.llm.shared import drop, free_name, materialize, small_batches, table
 
 SHINGLE = 4
 #: Columns of a node whose whole set is to be read.
@@ -52,27 +51,12 @@ PAIRED = 32
 #: From the second level on, long lists of one head are compared in one task if they have up to so many documents and tokens.
 TOGETHER = 2_000
 TOGETHER_TOKENS = 1_000_000
-#: Texts and sets go to Python so many at a time; the buffers of a batch are outside the JVM's heap, up to thrice its size.
-BATCH_ROWS = 1_000
 #: Frequent tokens are sent to all executors up to so many (8 bytes each), and joined beyond.
 SENT_TOKENS = 2_000_000
 #: Documents whose whole sets are read are sent to all executors up to so many (40 bytes each), and joined beyond.
 SENT_NODES = 1_000_000
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside send at most BATCH_ROWS rows to Python at a time; the session's setting comes back after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct tokens) of each text; A-Z lower-cased."""
     for at, to, data, offsets in slices(batch_text):

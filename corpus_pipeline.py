@@ -6,6 +6,9 @@ shared folder and read back. All but the last return the columns of documents.
 Defined results: null and empty texts fail the quality rules; a document all of whose words are duplicates is dropped, and
 one that loses some keeps the others joined by single spaces, with n_chars counted anew; other texts stay as they are.
 Documents the mix takes no copy of are dropped from the last stage's rows.
+
+Stages that send texts to Python let the session send few rows at a time. Their results are read later, so the setting stays
+where a stage is called by itself; run puts it back.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from contextloom.llm.decontam import find_items
 from contextloom.llm.jaccard import keep_first
 from contextloom.llm.mixing import mix_sources
 from contextloom.llm.quality import quality_rules
-from contextloom.llm.shared import free_name, materialize, table
+from contextloom.llm.shared import free_name, materialize, small_batches, table, use_small_batches
 from contextloom.llm.sql import OP1, OP3, OP4, OP6, OP7
 from contextloom.llm.substrings import deduplicate_substrings
 
@@ -35,10 +38,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_small_batches(spark)
     return keep_first(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_small_batches(spark)
     cut = deduplicate_substrings(docs).where("n_removed < n_words or n_removed = 0")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
@@ -46,6 +51,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_small_batches(spark)
     return find_items(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
@@ -83,6 +89,7 @@ ORACLE_SQL: str | None = _oracle()
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

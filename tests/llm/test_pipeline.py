@@ -79,3 +79,21 @@ def test_run_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_send_small_batches(spark, tmp_path, monkeypatch):
+    """Texts wait outside the JVM's heap while they go to Python; run puts the session's setting back."""
+    from contextloom.llm.shared import materialize
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: seen.append(int(spark.conf.get(key))) or materialize(df, name))
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert seen == [1000] * 5 and spark.conf.get(key) == before
+    try:  # the results of a stage by itself are read later
+        corpus_pipeline.substrings(spark, spark.createDataFrame([], DOCS), str(tmp_path))
+        assert int(spark.conf.get(key)) == 1000
+    finally:
+        spark.conf.set(key, before)
