@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextloom import lexicon as L
-from contextloom.functions.text import contains_word, fingerprint, lines, normalize, overlap_tokens, token_overlap, word_position
+from contextloom.functions.text import contains_word, fingerprint, lines, normalize, overlap_tokens, word_position
 
 
 @dataclass(frozen=True)
@@ -155,16 +155,21 @@ def extract_markers(turns: DataFrame, keys: Sequence[str] = ("conv_id",), extens
 def resolve(items: DataFrame, keys: Sequence[str] = ("conv_id",), least: float = L.RESOLVED_OVERLAP) -> DataFrame:
     """items with resolved_by: the earliest later decision whose words overlap enough with an open question.
 
-    An overlap above 0 needs a word in common, so candidates come from an equi-join on words within a conversation.
+    An overlap above 0 needs a word in common, so candidates come from an equi-join on words within a conversation. Only sizes
+    of word sets travel with the words, and neither side is sent to the driver: AQE sees its size from before the explode.
     """
     keys = list(keys)
     if "resolved_by" not in items.columns:
         items = items.withColumn("resolved_by", F.lit(None).cast("long"))
     words = items.select(*keys, "classification", "turn_index", "fingerprint", "resolved_by", overlap_tokens(F.col("text")).alias("words"))
-    q = words.where("classification = 'open_question' and resolved_by is null").select(*keys, F.col("turn_index").alias("q_turn"), F.col("fingerprint").alias("q_mark"), F.col("words").alias("q_words"))
-    d = words.where("classification = 'decision'").select(*keys, F.col("turn_index").alias("d_turn"), F.col("words").alias("d_words"))
-    shared = q.withColumn("word", F.explode("q_words")).join(d.withColumn("word", F.explode("d_words")), [*keys, "word"]).where("d_turn > q_turn")
-    close = shared.where(token_overlap(F.col("q_words"), F.col("d_words")).cast("float") >= F.lit(least).cast("float"))
+    # words have no white space, so their md5 stands for the set; equal rows count once
+    one_each = lambda df, side: df.withColumn(f"{side}_set", F.md5(F.array_join("words", " "))).dropDuplicates([c for c in df.columns if c != "words"] + [f"{side}_set"])
+    spread = lambda df, side: one_each(df, side).withColumn(f"{side}_size", F.size("words")).withColumn("word", F.explode("words")).drop("words")
+    q = words.where("classification = 'open_question' and resolved_by is null").select(*keys, F.col("turn_index").alias("q_turn"), F.col("fingerprint").alias("q_mark"), "words")
+    d = words.where("classification = 'decision'").select(*keys, F.col("turn_index").alias("d_turn"), "words")
+    meet = spread(q, "q").join(spread(d, "d").hint("merge"), [*keys, "word"]).where("d_turn > q_turn")
+    shared = meet.groupBy(*keys, "q_turn", "q_mark", "q_set", "d_turn", "d_set").agg(F.count("*").alias("both"), (F.first("q_size") + F.first("d_size")).alias("sizes"))
+    close = shared.where((F.col("both") / (F.col("sizes") - F.col("both"))).cast("float") >= F.lit(least).cast("float"))
     found = close.groupBy(*keys, "q_turn", "q_mark").agg(F.min("d_turn").alias("_by"))
     found = found.withColumnsRenamed({"q_turn": "turn_index", "q_mark": "fingerprint"}).withColumn("classification", F.lit("open_question"))
     out = items.join(found, [*keys, "turn_index", "fingerprint", "classification"], "left")
