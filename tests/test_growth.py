@@ -1,5 +1,8 @@
 """Cases that only larger tables show."""
 
+import duckdb
+
+from contextloom import queries as Q
 from contextloom.operators import conversation as C
 
 
@@ -19,3 +22,14 @@ def test_resolve_counts_each_word_set_once(spark):
     items = spark.createDataFrame(rows, "conv_id long, classification string, turn_index long, fingerprint string, text string")
     got = {r.resolved_by for r in C.resolve(items, least=0.1).where("classification = 'open_question'").collect()}
     assert got == {None}
+
+
+def test_pruned_changes_rounds_halves_to_even(spark, tmp_path):
+    # 996.5 is 996 in SQL, the highest score; rounded up it is 997, the lowest
+    rows = [(50, 30000, 996.5), (100, 30000, 994.0), (150, 30000, 0.5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = db.sql(Q.SQL["pruned_changes"]).fetchall()
+    assert want == [(0, "50")]
+    assert [tuple(r) for r in Q.QUERIES["pruned_changes"](spark, str(tmp_path)).collect()] == want
