@@ -4,6 +4,7 @@ import duckdb
 
 from contextloom import queries as Q
 from contextloom.operators import conversation as C
+from contextloom.operators import vector as V
 
 
 def test_resolve_sends_no_exploded_words_to_the_driver(spark):
@@ -33,3 +34,24 @@ def test_pruned_changes_rounds_halves_to_even(spark, tmp_path):
     want = db.sql(Q.SQL["pruned_changes"]).fetchall()
     assert want == [(0, "50")]
     assert [tuple(r) for r in Q.QUERIES["pruned_changes"](spark, str(tmp_path)).collect()] == want
+
+
+def test_nearest_of_each_compares_cells_without_a_nested_loop(spark):
+    import numpy as np
+
+    from contextloom.shipping import ship
+
+    ship(spark)
+    made = np.random.default_rng(3).normal(size=(60, 5)).astype("f4")
+    rows = [(i, [float(x) for x in made[i % 60]]) for i in range(400)] + [(400, None)]
+    items = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = items.where("id % 20 = 0 and id < 400").withColumnRenamed("id", "query")
+    out = V.nearest_of_each(items, asked, 9, block=7, group=90)
+    assert "NestedLoop" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = sorted((r["query"], r["rank"], r["id"], round(r["distance"], 6)) for r in out.collect())
+    want = []
+    for q in range(0, 400, 20):
+        d = made[[i % 60 for i in range(400)]] - made[q % 60]
+        far = np.sqrt((d.astype("f8") ** 2).sum(1))
+        want += [(q, n + 1, int(i), round(float(far[i]), 6)) for n, i in enumerate(sorted(range(400), key=lambda i: (far[i], i))[:9])]
+    assert got == want
