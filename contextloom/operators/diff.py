@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,35 +13,69 @@ from contextloom.functions.text import WORD_CHARS, content_hash, fingerprint, no
 from contextloom.operators.scoring import change_score
 
 
-def diff_files(before: DataFrame, after: DataFrame, similar: float = 0.5) -> DataFrame:
+def diff_files(before: DataFrame, after: DataFrame, similar: float = 0.5, common: int = 100) -> DataFrame:
     """(path, type, from) of files (path, content): added, modified, deleted, or renamed with the path they had.
 
     A deleted and an added file of equal content are one renamed file; of the others, pairs that share most of their lines
-    are, each file at most once, the most similar first. Candidates meet by lines in common, not as a product.
+    are, if each is the other's most similar. Texts stay in their scan: hashes of them and of their lines travel.
     """
-    b = before.select("path", F.col("content").alias("old"), content_hash(F.col("content")).alias("old_hash"))
-    a = after.select("path", F.col("content").alias("new"), content_hash(F.col("content")).alias("new_hash"))
-    both = b.join(a, "path", "full_outer")
+    line_set = lambda c: F.array_sort(F.array_distinct(F.transform(F.split(c, "\n"), lambda x: F.md5(x))))
+    side = lambda df, name: df.select("path", content_hash(F.col("content")).alias(f"{name}_hash"), line_set(F.col("content")).alias(name))
+    both = side(before, "old").join(side(after, "new"), "path", "full_outer")
     kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified")
-    changed = both.withColumn("type", kind).where("type is not null")
-    gone = changed.where("type = 'deleted'").select(F.col("path").alias("from"), F.col("old").alias("text"), F.col("old_hash").alias("hash"))
-    come = changed.where("type = 'added'").select("path", F.col("new").alias("text"), F.col("new_hash").alias("hash"))
-    number = lambda key: F.row_number().over(Window.partitionBy("hash").orderBy(key))
-    exact = gone.withColumn("n", number("from")).join(come.withColumn("n", number("path")), ["hash", "n"]).select("from", "path", F.lit(1.0).alias("similarity"))
-    rest_gone, rest_come = gone.join(exact, "from", "left_anti"), come.join(exact, "path", "left_anti")
-    line_of = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    sizes = lambda df, key, name: df.select(key, F.size(F.array_distinct(F.split("text", "\n"))).alias(name))
-    shared = line_of(rest_gone, "from").join(line_of(rest_come, "path"), "line").groupBy("from", "path").agg(F.count("*").alias("shared"))
-    close = shared.join(sizes(rest_gone, "from", "n1"), "from").join(sizes(rest_come, "path", "n2"), "path")
-    close = close.withColumn("similarity", F.col("shared") / F.greatest("n1", "n2")).where(F.col("similarity") >= similar)
-    best = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), other))
-    close = close.withColumn("r1", best("from", "path")).withColumn("r2", best("path", "from")).where("r1 = 1 and r2 = 1").select("from", "path", "similarity")
-    moved = exact.unionByName(close)
+    # what is read several times is kept on the executors' disks, so that plans stay short
+    changed = both.withColumn("type", kind).where("type is not null").localCheckpoint(True, StorageLevel.DISK_ONLY)
+    gone = changed.where("type = 'deleted'").select(F.col("path").alias("from"), F.col("old").alias("lines"), F.col("old_hash").alias("hash"))
+    come = changed.where("type = 'added'").select("path", F.col("new").alias("lines"), F.col("new_hash").alias("hash"))
+    number = lambda df, key: df.select(key, "hash").withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy(key)))
+    exact = number(gone, "from").join(number(come, "path"), ["hash", "n"]).select("from", "path")
+    close = closest(gone.join(exact, "from", "left_anti"), come.join(exact, "path", "left_anti"), similar, common)
+    moved = exact.unionByName(close).localCheckpoint(True, StorageLevel.DISK_ONLY)
     kept = changed.select("path", "type").join(moved.select(F.col("from").alias("path")), "path", "left_anti")
     out = kept.join(moved.select("path", "from"), "path", "left")
     return out.select("path", F.when(F.col("from").isNotNull(), "renamed").otherwise(F.col("type")).alias("type"), "from")
 
 
+def closest(gone: DataFrame, come: DataFrame, similar: float, common: int) -> DataFrame:
+    """(from, path): pairs of gone (from, lines) and come (path, lines), each the other's most similar, by path among equals.
+
+    Of files with equal lines only the first by path can be in a pair. Pairs meet by lines of at most common * common pairs.
+    Files that share only lines of more pairs are as similar as their parts of common lines and their sizes say, so of
+    those with equal parts and sizes again the first counts: such lines make no product of files, and no pair is lost.
+    """
+    every = gone.select(F.lit(0).alias("side"), F.col("from").alias("name"), "lines").unionByName(come.select(F.lit(1).alias("side"), F.col("path").alias("name"), "lines"))
+    same = every.groupBy("side", F.md5(F.array_join("lines", "")).alias("set")).agg(F.min("name").alias("name"), F.first("lines").alias("lines"))
+    same = same.select("side", "name", F.size("lines").alias("n"), "lines").localCheckpoint(True, StorageLevel.DISK_ONLY)
+    spread = same.select("side", "name", "n", F.explode("lines").alias("line"))
+    uses = spread.groupBy("line").agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == 1).alias("c")).where("g > 0 and c > 0")
+    marked = spread.join(uses.select("line", (F.col("g") * F.col("c") > common * common).alias("often")), "line").localCheckpoint(True, StorageLevel.DISK_ONLY)
+    of = lambda df, side, key, n: df.where(F.col("side") == side).withColumnsRenamed({"name": key, "n": n}).drop("side")
+    fits = (F.col("n1") >= similar * F.col("n2")) & (F.col("n2") >= similar * F.col("n1"))
+    ratio = F.col("shared") / F.greatest("n1", "n2")
+
+    part = marked.where("often").groupBy("side", "name", "n").agg(F.sort_array(F.collect_list("line")).alias("often")).localCheckpoint(True, StorageLevel.DISK_ONLY)
+    seldom = marked.where("not often").select("side", "name", "n", "line")
+    met = of(seldom, 0, "from", "n1").join(of(seldom, 1, "path", "n2").hint("merge"), "line").where(fits).groupBy("from", "path").agg(F.count("*").alias("few"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    own = lambda side, key, name: of(part.drop("n").withColumnRenamed("often", name), side, key, "n")
+    met = met.join(own(0, "from", "often1"), "from", "left").join(own(1, "path", "often2"), "path", "left")
+    met = met.withColumn("shared", F.col("few") + F.coalesce(F.size(F.array_intersect("often1", "often2")), F.lit(0)))
+    met = met.select("from", "path", ratio.alias("similarity")).where(F.col("similarity") >= similar).localCheckpoint(True, StorageLevel.DISK_ONLY)
+
+    part = part.where(F.size("often") >= similar * F.col("n")).withColumn("kind", F.md5(F.concat_ws(":", F.col("n"), F.array_join("often", ""))))
+    kinds = part.groupBy("side", "kind", "n").agg(F.min("name").alias("name"), F.first("often").alias("often")).select("side", "kind", "n", "name", F.explode("often").alias("line"))
+    a, b = of(kinds, 0, "from", "n1").withColumnRenamed("kind", "k1"), of(kinds, 1, "path", "n2").withColumnRenamed("kind", "k2")
+    alike = a.join(b.hint("merge"), "line").where(fits).groupBy("k1", "k2").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n1", "n2", "from", "path")))
+    alike = alike.withColumn("similarity", ratio).where(F.col("similarity") >= similar).localCheckpoint(True, StorageLevel.DISK_ONLY)
+    first = lambda other: F.min(F.struct((-F.col("similarity")).alias("s"), F.col(other).alias("other"))).alias("best")
+    by_kind = alike.groupBy(F.lit(0).alias("side"), F.col("k1").alias("kind")).agg(first("path")).unionByName(alike.groupBy(F.lit(1).alias("side"), F.col("k2").alias("kind")).agg(first("from")))
+    said = part.join(by_kind, ["side", "kind"]).select("side", "name", "best")
+    said = said.unionByName(met.groupBy(F.lit(0).alias("side"), F.col("from").alias("name")).agg(first("path")))
+    said = said.unionByName(met.groupBy(F.lit(1).alias("side"), F.col("path").alias("name")).agg(first("from")))
+    best = said.groupBy("side", "name").agg(F.min("best").alias("best")).select("side", "name", F.col("best.other").alias("other")).localCheckpoint(True, StorageLevel.DISK_ONLY)
+    left, right = best.where("side = 0").select(F.col("name").alias("from"), F.col("other").alias("path")), best.where("side = 1").select(F.col("other").alias("from"), F.col("name").alias("path"))
+    return left.join(right, ["from", "path"])
+
+
 HUNKS = "path string, added_lines long, removed_lines long, hunks array<struct<old_start: int, old_count: int, new_start: int, new_count: int, fingerprint: string>>"
 
 

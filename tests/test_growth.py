@@ -4,6 +4,7 @@ import duckdb
 
 from contextloom import queries as Q
 from contextloom.operators import conversation as C
+from contextloom.operators import diff as D
 from contextloom.operators import vector as V
 
 
@@ -55,3 +56,29 @@ def test_nearest_of_each_compares_cells_without_a_nested_loop(spark):
         far = np.sqrt((d.astype("f8") ** 2).sum(1))
         want += [(q, n + 1, int(i), round(float(far[i]), 6)) for n, i in enumerate(sorted(range(400), key=lambda i: (far[i], i))[:9])]
     assert got == want
+
+
+def test_diff_files_finds_the_same_renames_with_common_lines(spark):
+    import random
+
+    r = random.Random(5)
+    text = lambda i: "\n".join(r.sample("LMNO", r.randint(0, 3)) + r.sample([f"x{k}" for k in range(40)], r.randint(0, 3)))
+    before = [(f"b{i:03}", text(i)) for i in range(150)]
+    after = [(f"a{i:03}", text(i)) for i in range(150)]
+    # the first of equal contents pair off; then each must be the other's most similar
+    gone, come, exact = dict(before), dict(after), []
+    for f, t in sorted(before):
+        p = next((p for p in sorted(come) if come[p] == t), None)
+        if p:
+            exact.append((f, p))
+            del gone[f], come[p]
+    sets = lambda t: set(t.split("\n"))
+    near = {(f, p): len(sets(t) & sets(u)) / max(len(sets(t)), len(sets(u))) for f, t in gone.items() for p, u in come.items()}
+    near = {k: s for k, s in near.items() if s >= 0.5}
+    one = {f: min((-s, p) for (g, p), s in near.items() if g == f)[1] for f, _ in near}
+    two = {p: min((-s, f) for (f, q), s in near.items() if q == p)[1] for _, p in near}
+    want = sorted(exact + [(f, p) for f, p in one.items() if two[p] == f])
+    make = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    for common in (1, 3, 100):
+        out = D.diff_files(make(before), make(after), common=common)
+        assert sorted((x["from"], x["path"]) for x in out.where("type = 'renamed'").collect()) == want
