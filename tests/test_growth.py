@@ -82,3 +82,16 @@ def test_diff_files_finds_the_same_renames_with_common_lines(spark):
     for common in (1, 3, 100):
         out = D.diff_files(make(before), make(after), common=common)
         assert sorted((x["from"], x["path"]) for x in out.where("type = 'renamed'").collect()) == want
+
+
+def test_chunk_files_sends_no_text_to_python(spark):
+    from contextloom.functions.text import split_lines
+    from contextloom.shipping import ship
+
+    ship(spark)
+    texts = [None, "", "\n", "a", "a\n", "a\r\nb\n\nc", "é" * 30 + "\n" + "x\n" * 40, "\r\n\r\n", "one two\n" * 9 + "end"]
+    out = V.chunk_files(spark.createDataFrame(list(enumerate(texts)), "path long, content string"), 8, 2)
+    assert "InPandas" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = sorted((r.path, r.chunk_index, r.text, r.start_line, r.end_line) for r in out.collect())
+    want = [(str(i), k, "\n".join(split_lines(t)[a:b]), a + 1, b) for i, t in enumerate(texts) for k, (a, b) in enumerate(V.pack_lines(t or "", 32, 8))]
+    assert [(str(p), *rest) for p, *rest in got] == want
