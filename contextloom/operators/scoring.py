@@ -1,7 +1,8 @@
 """Relevance of files to tasks.
 
-A task and a file meet only where they share a token, so scores come from an inverted index joined on tokens, with a
-count as the only thing shuffled; texts never leave their scan. Pairs that share nothing have no keyword or symbol part.
+A task and a file meet only where they share a token, so scores come from an inverted index joined on tokens. Files' sets of
+tokens are dealt out by path, so many files a task, before they meet: pairs, which are many more, are counted where they arise.
+Texts never leave their scan. Pairs that share nothing have no keyword or symbol part.
 """
 
 from __future__ import annotations
@@ -43,9 +44,14 @@ def task_tokens(tasks: DataFrame, task_id: str, text: str) -> DataFrame:
     return df.select("task_id", F.size("tokens").alias("task_size"), F.explode("tokens").alias("token"))
 
 
+DEALT = 4096  # files that a task scores
+
+
 def file_tokens(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, token): distinct tokens of each file's content."""
-    return files.select(F.col(path).alias("path"), F.explode(F.array_distinct(tokens(F.col(content)))).alias("token"))
+    """(path, token): distinct tokens of each file's content, dealt out by path to so many tasks that none has many files."""
+    df = files.select(F.col(path).alias("path"), F.array_distinct(tokens(F.col(content))).alias("tokens"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // DEALT))
+    return df.repartition(parts, "path").select("path", F.explode("tokens").alias("token"))
 
 
 def name_tokens(symbols: DataFrame, path: str = "file", name: str = "name") -> DataFrame:

@@ -95,3 +95,18 @@ def test_chunk_files_sends_no_text_to_python(spark):
     got = sorted((r.path, r.chunk_index, r.text, r.start_line, r.end_line) for r in out.collect())
     want = [(str(i), k, "\n".join(split_lines(t)[a:b]), a + 1, b) for i, t in enumerate(texts) for k, (a, b) in enumerate(V.pack_lines(t or "", 32, 8))]
     assert [(str(p), *rest) for p, *rest in got] == want
+
+
+def test_scores_shuffle_files_not_pairs(spark, tmp_path):
+    from contextloom.operators import scoring as S
+
+    rows = [("p1", "alpha beta gamma"), ("p2", "beta delta"), ("p2", "beta"), (None, "alpha"), (None, "gamma alpha")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    tasks = spark.createDataFrame([(1, "alpha beta"), (2, "delta delta epsilon")], "task_id long, task string")
+    tasks.write.parquet(str(tmp_path / "tasks"))
+    tasks = spark.read.parquet(str(tmp_path / "tasks"))
+    out = S.score_files(tasks, files)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(path" in plan, plan
+    got = sorted(((r.task_id, r.path, r.score) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "p1", 0.4), (1, "p2", 0.4), (1, None, 0.4), (2, "p2", 0.2)], key=repr)
