@@ -7,8 +7,11 @@ express it. It runs over one small row per file (costs and a summary of at most
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,31 +73,44 @@ def allocate(candidates: DataFrame, group: str, budget: str) -> DataFrame:
     form) and summary. A file's full form takes any cost that fits; a focused form must save a fifth; a signature form must
     cost something; a summary is cut to fit.
     """
-    df = candidates.select(F.col(group).alias("grp"), F.col(budget).cast("long").alias("budget"), "path", "score", "full", "focused", "signatures", "summary")
+    df = candidates.select(F.col(group).alias("grp"), F.col(budget).cast("long").alias("budget"), "path", "score", *(F.col(c).cast("long").alias(c) for c in ("full", "focused", "signatures")), "summary")
     kind = candidates.schema[group].dataType.simpleString()
 
+    never = np.iinfo("i8").max
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left = (), 0
         for rows in batches:
-            modes, costs, texts = [], [], []
-            for grp, budget, full, focused, signatures, summary in zip(*(rows.column(c).to_pylist() for c in ("grp", "budget", "full", "focused", "signatures", "summary")), strict=True):
+            size = rows.num_rows
+            modes, costs, texts = ["skipped"] * size, [0] * size, [None] * size
+            # what a row costs at least: most rows do not fit what is left, and are passed over together
+            form = lambda c, by=rows: pc.fill_null(by.column(c), never).to_numpy()
+            least = form("full")
+            for c in ("focused", "signatures"):
+                least = np.minimum(least, np.where(form(c) > 0, form(c), never))
+            least = np.where(rows.column("summary").is_valid().to_numpy(zero_copy_only=False), np.minimum(least, 1), least)
+            at = pc.fill_null(rows.column("grp").dictionary_encode().indices, -1).to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), size] if size else []):
+                grp = rows.column("grp")[lo].as_py()
                 if now != (grp,):
-                    now, left = (grp,), budget
-                mode, cost, text = "skipped", 0, None
-                if full is not None and full <= left:
-                    mode, cost = "full", full
-                elif focused is not None and 0 < focused <= left and full is not None and (full == 0 or focused < full * FOCUS_WORTH):
-                    mode, cost = "focused", focused
-                elif signatures is not None and 0 < signatures <= left:
-                    mode, cost = "signature_only", signatures
-                else:
-                    text = shorten(summary, left)
-                    if text is not None:
-                        mode, cost = "summary_only", len(text.encode()) // 4
-                left -= cost
-                modes.append(mode)
-                costs.append(cost)
-                texts.append(text)
+                    now, left = (grp,), rows.column("budget")[lo].as_py()
+                for i in (np.flatnonzero(least[lo:hi] <= left) + lo).tolist():
+                    if least[i] > left:
+                        continue
+                    full, focused, signatures, summary = (rows.column(c)[i].as_py() for c in ("full", "focused", "signatures", "summary"))
+                    mode, cost, text = "skipped", 0, None
+                    if full is not None and full <= left:
+                        mode, cost = "full", full
+                    elif focused is not None and 0 < focused <= left and full is not None and (full == 0 or focused < full * FOCUS_WORTH):
+                        mode, cost = "focused", focused
+                    elif signatures is not None and 0 < signatures <= left:
+                        mode, cost = "signature_only", signatures
+                    else:
+                        text = shorten(summary, left)
+                        if text is not None:
+                            mode, cost = "summary_only", len(text.encode()) // 4
+                    left -= cost
+                    modes[i], costs[i], texts[i] = mode, cost, text
             chosen = [rows.column("grp"), rows.column("path"), pa.array(modes, pa.string()), pa.array(costs, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(chosen, ["grp", "path", "mode", "tokens_used", "summary"])
 

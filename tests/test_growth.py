@@ -110,3 +110,32 @@ def test_scores_shuffle_files_not_pairs(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(path" in plan, plan
     got = sorted(((r.task_id, r.path, r.score) for r in out.collect()), key=repr)
     assert got == sorted([(1, "p1", 0.4), (1, "p2", 0.4), (1, None, 0.4), (2, "p2", 0.2)], key=repr)
+
+
+def test_allocate_folds_like_one_row_after_another(spark):
+    import random
+
+    from contextloom.operators import budget as B
+    from contextloom.shipping import ship
+
+    ship(spark)
+    r = random.Random(2)
+    cost = lambda: r.choice([None, 0, *range(1, 60)])
+    rows = [(g, 100, f"p{i:03}", r.random(), cost(), cost(), cost(), r.choice([None, "", "words of a summary"])) for g in (None, 1, 2) for i in range(60)]
+    want, left = [], {}
+    for g, b, p, _, full, focused, signatures, summary in sorted(rows, key=lambda x: -x[3]):
+        have = left.setdefault(g, b)
+        mode, used = "skipped", 0
+        if full is not None and full <= have:
+            mode, used = "full", full
+        elif focused and focused <= have and full is not None and focused < full * 0.8:
+            mode, used = "focused", focused
+        elif signatures and signatures <= have:
+            mode, used = "signature_only", signatures
+        elif (text := B.shorten(summary, have)) is not None:
+            mode, used = "summary_only", len(text.encode()) // 4
+        left[g] = have - used
+        want.append((g, p, mode, used))
+    df = spark.createDataFrame(rows, "g long, b long, path string, score double, full long, focused long, signatures long, summary string")
+    got = [(x.g, x.path, x["mode"], x.tokens_used) for x in B.allocate(df, "g", "b").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
